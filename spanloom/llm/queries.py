@@ -6,16 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm import mixing, toxicity
 from spanloom.llm.common import table
+from spanloom.llm.decontaminate import contaminated
+from spanloom.llm.licenses import scan_licenses
+from spanloom.llm.mixing import mix
 from spanloom.llm.near_dup import near_duplicates
+from spanloom.llm.token_counts import token_counts
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    return toxicity.toxicity(docs, lexicon)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
+    "op9_token_counts": op9_token_counts,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_source_mixing": op3_source_mixing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": f"with docs as (select doc_id, source, text from documents), {mixing.SQL} select doc_id, source, size, source_size, target, taken from mixed",
+}
