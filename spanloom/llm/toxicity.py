@@ -2,10 +2,11 @@
 
 Text is folded one character to one: lower case, homoglyphs of Latin letters to those letters, digits and signs that
 stand for letters to those letters.  An Aho-Corasick automaton finds the lexicon's words and the exception phrases in
-the folded text; a word inside an exception phrase doesn't count.  The weights of what remains are summed and divided
-by the text's number of words plus SLACK.
+the folded text; a word inside an exception phrase doesn't count.  The weights of what remains, one for each word of
+the text, are summed and divided by the text's number of words plus SLACK.
 
-The lexicon is learned from labelled rows: a word's weight is its smoothed log odds of standing in toxic against clean
+The lexicon is learned from labelled rows; it holds words and stems (the first STEM letters, written with a star), so
+that inflected and compound forms are known too.  A word's weight is its smoothed log odds of standing in toxic against clean
 texts.  Words of many copies of one text are told from words of the language by their left neighbours: few distinct
 ones mean copies.
 """
@@ -39,6 +40,7 @@ TRAIN_ROWS = 40_000
 MAX_TERMS = 20_000
 MIN_DOCS = 3
 MIN_WEIGHT = 2.0
+STEM = 4
 SLACK = 50
 CUT = 0.3
 
@@ -66,9 +68,14 @@ class Lexicon:
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
-        for word in {*self.weights, *self.exceptions}:
+        entries: dict[str, list[tuple[float, bool, bool]]] = defaultdict(list)
+        for term, weight in self.weights.items():
+            entries[term.removesuffix("*")].append((weight, term.endswith("*"), False))
+        for phrase in self.exceptions:
+            entries[phrase].append((0.0, False, True))
+        for word, kinds in entries.items():
             if word:
-                found.add_word(word, (len(word), self.weights.get(word, 0.0), word in self.exceptions))
+                found.add_word(word, (len(word), kinds))
         if len(found):
             found.make_automaton()
         return found
@@ -79,14 +86,25 @@ def density(text: str | None, automaton: ahocorasick.Automaton) -> float:
     folded = fold(text)
     if not folded or not len(automaton):
         return 0.0
-    hits, free = [], []
-    for end, (size, weight, free_phrase) in automaton.iter(folded):
+    hits: dict[int, float] = {}
+    free = []
+    for end, (size, kinds) in automaton.iter(folded):
         begin = end - size + 1
-        if (begin == 0 or not folded[begin - 1].isalpha()) and (end + 1 == len(folded) or not folded[end + 1].isalpha()):
-            (free if free_phrase else hits).append((begin, end, weight))
-    if free:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in free)]
-    return math.fsum(h[2] for h in hits) / (len(folded.split()) + SLACK) if hits else 0.0
+        if begin and folded[begin - 1].isalpha():
+            continue
+        whole = end + 1 == len(folded) or not folded[end + 1].isalpha()
+        for weight, stem, harmless in kinds:
+            if harmless and whole:
+                free.append((begin, end))
+            elif not harmless and (stem or whole):
+                hits[begin] = max(weight, hits.get(begin, 0.0))
+    total = math.fsum(w for k, w in hits.items() if not any(a <= k <= b for a, b in free))
+    return total / (len(folded.split()) + SLACK) if total else 0.0
+
+
+def terms_of(word: str) -> tuple[str, ...]:
+    """What of a word can be an entry: itself, and its stem if it is longer."""
+    return (word, f"{word[:STEM]}*") if len(word) > STEM else (word,)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +118,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            for word in {"", *_WORD.findall(fold(text))}:
-                found[word][toxic] += 1
+            words = set(_WORD.findall(fold(text)))
+            for term in {"", *words, *(f"{w[:STEM]}*" for w in words if len(w) > STEM)}:
+                found[term][toxic] += 1
             if len(found) > 300_000:
                 yield flush()
     yield flush()
@@ -113,7 +132,7 @@ def _neighbours(terms: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], I
             seen = set()
             for text in batch["text"].to_pylist():
                 words = ["", *_WORD.findall(fold(text))]
-                seen.update((w, words[k]) for k, w in enumerate(words[1:]) if w in terms)
+                seen.update((t, words[k]) for k, w in enumerate(words[1:]) for t in terms_of(w) if t in terms)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.string())], ["term", "left"])
 
     return run
