@@ -10,12 +10,17 @@ Candidates are then confirmed on the full sets.
 
 Large groups: texts with equal sets are one node.  In a bucket each node is paired with the bucket's first and with
 the one before it only, and what that links is one component; a second round pairs the nodes of different components
-that still share a bucket.  A bucket that is large even then is replaced by an exact prefix-filter join of its nodes.
+that still share a bucket.  Large buckets of several components are resolved in tiles of bounded size: the nodes outside
+a crowd's main component meet all of its nodes, overlaps are counted exactly through an inverted index of the tile, and
+only confirmed links leave it.
+
+Texts are never shuffled: a pass over the documents makes the sets of the nodes that take part, which a bit table of
+bounded size lets through and a join on the node confirms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,11 @@ SYMBOLS = CHUNKS * CHUNK
 FAR = 33
 #: Nodes of one bucket that the second round pairs directly.
 DIRECT = 48
+#: Nodes on either side of a tile.
+TILE = 3000
+#: The bit table of nodes that take part has sixteen bits a node and at most 2 ** MOST_BITS; beyond that it lets more
+#: nodes through and the join on the node does the rest.
+MOST_BITS = 28
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
@@ -91,14 +101,31 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["node"], batch["n_shingles"], pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SYMBOLS), flat)], ["node", "n_shingles", "keys"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, off = utf8(batch["text"])
-        found = [shingles(words[at[i - a] : at[i - a + 1]], WIDTH) for a, b, words, at in doc_words(raw, off) for i in range(a, b)]
-        at = np.zeros(len(found) + 1, np.int32)
-        np.cumsum([s.size for s in found], out=at[1:])
-        flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "items"])
+def _sets(bits: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spot = batch["spot"].to_numpy()
+            batch = batch.filter(pa.array((bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            raw, off = utf8(batch["text"])
+            found = [shingles(words[at[i - a] : at[i - a + 1]], WIDTH) for a, b, words, at in doc_words(raw, off) for i in range(a, b)]
+            at = np.zeros(len(found) + 1, np.int32)
+            np.cumsum([s.size for s in found], out=at[1:])
+            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "items"])
+
+    return run
+
+
+def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, items) of the documents whose doc_id is in ``nodes`` (node, distinct): one pass over docs, settled."""
+    nodes = settle(nodes)
+    size = min(MOST_BITS, max(16, (16 * nodes.count()).bit_length()))
+    spot = F.pmod(F.xxhash64("node"), F.lit(1 << size))
+    table = nodes.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("v")).toArrow()
+    bits = np.zeros(1 << size - 6, np.uint64)
+    bits[table["w"].to_numpy()] = table["v"].to_numpy().view(np.uint64)
+    passed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << size)).alias("spot"))
+    return settle(passed.mapInArrow(_sets(bits), "node bigint, items array<bigint>").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,33 +148,53 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a bigint, b bigint")
     )
-    taking_part = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(taking_part, "node", "left_semi")
-    sets = settle(texts.mapInArrow(_sets, "node bigint, items array<bigint>").dropDuplicates(["node"]))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs)
     both = (
-        pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
+        pairs.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
+        .join(sets.hint("merge").select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
         .select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("n"), (F.size("items_a") + F.size("items_b")).alias("m"))
     )
     return both.where(F.col("n") * 100 >= (F.col("m") - F.col("n")) * PERCENT).select("a", "b")
 
 
-def _prefix_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidate pairs among ``members`` (node, comp) by an exact prefix filter, for nodes in large mixed buckets.
-
-    Shingles are ordered by their frequency among the members, rare first.  Two sets of similarity >= 0.75 share one
-    of their first n - ceil(0.75 n) + 1 shingles, whatever the order, so no pair is lost; frequent passages stand last
-    and rarely enter a prefix.
-    """
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node"), "node", "left_semi")
-    items = settle(texts.mapInArrow(_sets, "node bigint, items array<bigint>").dropDuplicates(["node"]).select("node", F.size("items").alias("n"), F.explode("items").alias("item")))
-    often = items.groupBy("item").count().where("count > 1")
-    order = Window.partitionBy("node").orderBy(F.coalesce("count", F.lit(1)), "item")
-    prefix = items.join(often, "item", "left").withColumn("k", F.row_number().over(order)).where("k <= n - ceil(n * 0.75) + 1 and count > 1").join(members, "node").select("item", "node", "n", "comp")
-    mixed = prefix.groupBy("item").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("item")
-    prefix = settle(prefix.join(mixed, "item"))
-    x, y = prefix.withColumnsRenamed({"node": "a", "n": "na", "comp": "ca"}), prefix.withColumnsRenamed({"node": "b", "n": "nb", "comp": "cb"})
-    return x.join(y, "item").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb")).select("a", "b").distinct()
+def _tile(rows: pa.Table) -> pa.Table:
+    """Links (a, b) of a tile's asking nodes with its other ones: for each component of the others the first link."""
+    asks = rows.column("asks").to_numpy()
+    node, comp = rows.column("node").to_numpy(), rows.column("comp").to_numpy()
+    items = rows.column("items").combine_chunks()
+    at, flat = items.offsets.to_numpy(), items.values.to_numpy()
+    size = np.diff(at)
+    there = np.flatnonzero(~asks)
+    owner = np.repeat(np.arange(there.size), size[there])
+    held = np.concatenate([flat[at[k] : at[k + 1]] for k in there]) if there.size else flat[:0]
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    a, b = [], []
+    for k in np.flatnonzero(asks):
+        mine = flat[at[k] : at[k + 1]]
+        lo, hi = np.searchsorted(held, mine), np.searchsorted(held, mine, "right")
+        n = hi - lo
+        spots = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        same = np.bincount(owner[spots], minlength=there.size)
+        linked = there[(same * 100 >= (size[k] + size[there] - same) * PERCENT) & (comp[there] != comp[k])]
+        for j in linked[np.unique(comp[linked], return_index=True)[1]]:
+            a.append(node[k])
+            b.append(node[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _crowd_links(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """All links between different components among nodes that share large mixed buckets.  crowd: node, first, comp."""
+    groups = components(crowd.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "crowd")
+    placed = crowd.select("node", "comp").distinct().join(groups, "node")
+    main = placed.groupBy("crowd", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("crowd").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n_all"), (F.sum("n") - F.max("n")).alias("n_ask"))
+    placed = settle(placed.join(main, "crowd"))
+    placed = placed.join(sets_of(placed.select("node"), docs).hint("merge"), "node").withColumns({"ts": F.ceil(F.col("n_ask") / TILE), "tm": F.ceil(F.col("n_all") / TILE)})
+    spot = F.xxhash64("node")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    asking = placed.where("comp <> main").select("crowd", F.pmod(spot, F.col("ts")).alias("s"), F.explode(every("tm")).alias("m"), F.lit(True).alias("asks"), "node", "comp", "items")
+    others = placed.where("n_ask > 0").select("crowd", F.explode(every("ts")).alias("s"), F.pmod(spot, F.col("tm")).alias("m"), F.lit(False).alias("asks"), "node", "comp", "items")
+    return asking.unionByName(others).groupBy("crowd", "s", "m").applyInArrow(_tile, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,14 +224,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = settle(components(links))
 
     # Second round: what shares a bucket and isn't in one component yet.
-    placed = buckets.select("key", "node", "n_shingles").join(comp, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key", "g")
-    left = settle(placed.join(mixed, "key").where("g > 2"))
+    placed = buckets.select("key", "node", "n_shingles", "first").join(comp, "node", "left").select("key", "node", "n_shingles", "first", F.coalesce("component", "node").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2 and g > 2").select("key", "g")
+    left = settle(placed.join(mixed, "key"))
     small = left.where(F.col("g") <= DIRECT).groupBy("key").agg(F.collect_list(F.struct("node", "n_shingles", "comp")).alias("xs")).select(F.explode("xs").alias("x"), "xs")
-    direct = small.select(F.col("x.node").alias("a"), F.explode(F.expr("filter(xs, y -> y.node > x.node and y.comp <> x.comp and least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * 75).node")).alias("b")).distinct()
-    crowd = settle(left.where(F.col("g") > DIRECT).select("node", "comp").distinct())
-    more = direct if crowd.isEmpty() else direct.unionByName(_prefix_pairs(crowd, docs)).distinct()
-    links = links.unionByName(confirm(more.join(pairs, ["a", "b"], "left_anti"), nodes, docs))
+    direct = small.select(F.col("x.node").alias("a"), F.explode(F.expr(f"filter(xs, y -> y.node > x.node and y.comp <> x.comp and least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {PERCENT}).node")).alias("b")).distinct()
+    links = links.unionByName(confirm(direct.join(pairs, ["a", "b"], "left_anti"), nodes, docs))
+    crowd = settle(left.where(F.col("g") > DIRECT).select("node", "first", "comp").distinct())
+    if not crowd.isEmpty():
+        links = links.unionByName(_crowd_links(crowd, docs))
     # Rows of one doc_id with unlike sets belong together too.
     links = links.unionByName(member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     comp = settle(components(links))

@@ -48,8 +48,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def _hash_words(raw: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = _SPACE, lower: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of raw, none of which crosses a cut; the words' count before each cut."""
+def _hash_words(raw: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = _SPACE, lower: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of raw, none of which crosses a cut; the words' count before each cut; begins; sizes."""
     inside = ~spaces[raw]
     before = np.empty_like(inside)
     before[:1] = False
@@ -58,18 +58,20 @@ def _hash_words(raw: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = _SPACE,
     begins = inside & ~before
     at = np.flatnonzero(inside)
     if not at.size:
-        return np.zeros(0, np.uint64), np.zeros(cuts.size, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(cuts.size, np.int64), none, none
     first = np.flatnonzero(begins[at])
     size = np.diff(np.append(first, at.size))
     place = np.arange(at.size) - np.repeat(first, size)
     h = _BYTE[lower[raw[at]]] * _PLACE[place & (_PLACES - 1)]
     if size.max() > _PLACES:
         h *= (place // _PLACES * 2 + 1).astype(np.uint64)
-    return mix64(np.add.reduceat(h, first)), np.searchsorted(at[first], cuts)
+    return mix64(np.add.reduceat(h, first)), np.searchsorted(at[first], cuts), at[first], size
 
 
-def doc_words(raw: np.ndarray, off: np.ndarray, spaces: np.ndarray = _SPACE, lower: np.ndarray = _LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, word hashes, word offsets by row) for runs of rows of about SLICE_BYTES.
+def doc_tokens(raw: np.ndarray, off: np.ndarray, spaces: np.ndarray = _SPACE, lower: np.ndarray = _LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, word hashes, word offsets by row, begins in raw, sizes) for runs of rows of about
+    SLICE_BYTES.
 
     A longer text comes alone; it is hashed in pieces that end at white space, and only its hashes are held whole.
     """
@@ -82,20 +84,27 @@ def doc_words(raw: np.ndarray, off: np.ndarray, spaces: np.ndarray = _SPACE, low
                 while b < end and not spaces[raw[b]]:
                     gap = np.flatnonzero(spaces[raw[b : b + 4096]])
                     b = b + int(gap[0]) if gap.size else min(b + 4096, end)
-                parts.append(_hash_words(raw[a:b], np.zeros(1, np.int64), spaces, lower)[0])
+                words, _, begins, sizes = _hash_words(raw[a:b], np.zeros(1, np.int64), spaces, lower)
+                parts.append((words, begins + a, sizes))
                 a = b
-            words = np.concatenate(parts)
-            yield row, row + 1, words, np.array([0, words.size])
+            words, begins, sizes = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            yield row, row + 1, words, np.array([0, words.size]), begins, sizes
             row += 1
             continue
         last = max(row + 1, int(np.searchsorted(off, off[row] + SLICE_BYTES, "right")) - 1)
-        words, at = _hash_words(raw[off[row] : off[last]], off[row : last + 1] - off[row], spaces, lower)
+        words, at, begins, sizes = _hash_words(raw[off[row] : off[last]], off[row : last + 1] - off[row], spaces, lower)
         at = at.copy()
         at[-1] = words.size
-        yield row, last, words, at
+        yield row, last, words, at, begins + off[row], sizes
         row = last
 
 
+def doc_words(raw: np.ndarray, off: np.ndarray, spaces: np.ndarray = _SPACE, lower: np.ndarray = _LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What doc_tokens gives, without the places."""
+    for a, b, words, at, _, _ in doc_tokens(raw, off, spaces, lower):
+        yield a, b, words, at
+
+
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     """The distinct hashed shingles of one text, sorted; a text of fewer words than width is one shingle, none of no words."""
     if not words.size:
