@@ -12,6 +12,7 @@ from spanloom.llm.common import table
 from spanloom.llm.decontaminate import contaminated
 from spanloom.llm.html_extract import extract
 from spanloom.llm.licenses import scan_licenses
+from spanloom.llm.lm_score import lm_scores
 from spanloom.llm.mixing import mix
 from spanloom.llm.near_dup import near_duplicates
 from spanloom.llm.token_counts import token_counts
@@ -33,6 +34,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(table(spark, sf_dir, "conversations"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_benchmark_decontamination,
         op3_source_mixing,
         op4_minhash_near_dedup,
+        op5_lm_scoring,
         op6_tool_call_linking,
         op7_toxicity,
         op8_license_scan,
