@@ -60,7 +60,7 @@ def norm_title(title: Column | str) -> Column:
 
 def slugify(title: Column | str, most: int = 60) -> Column:
     t = F.regexp_replace(F.lower(F.coalesce(_col(title), F.lit(""))), "[^a-z0-9]+", "_")
-    return F.rtrim(F.lit("_"), F.substring(F.regexp_replace(t, "^_+|_+$", ""), 1, most))
+    return F.rtrim(F.substring(F.regexp_replace(t, "^_+|_+$", ""), 1, most), F.lit("_"))
 
 
 def make_stem(published: Column | str, title: Column | str) -> Column:

@@ -77,7 +77,7 @@ def nearest_block(spark: SparkSession, d: str) -> DataFrame:
     return I.nearest_block(block_table(t, "tflag"), block_table(t, "flag"), ["episode"])
 
 
-@book.add(f"with {V.IVA}, pts as (select user_id as episode, event_id as point_no, epoch_ms(ts) as t from events where event_type = 'view'), cues as (select episode, s, e, event_id as cue_no, row_number() over (partition by episode, s order by event_id desc) as n from iva) select p.episode, p.point_no, p.t, case when p.t < c.e + 300 then c.cue_no end as cue_no from pts p asof left join (select * from cues where n = 1) c on p.episode = c.episode and p.t >= c.s")
+@book.add(f"with {V.IVA}, pts as (select user_id as episode, event_id as point_no, (epoch_us(ts) // 1000) as t from events where event_type = 'view'), cues as (select episode, s, e, event_id as cue_no, row_number() over (partition by episode, s order by event_id desc) as n from iva) select p.episode, p.point_no, p.t, case when p.t < c.e + 300 then c.cue_no end as cue_no from pts p asof left join (select * from cues where n = 1) c on p.episode = c.episode and p.t >= c.s")
 def asof_cue(spark: SparkSession, d: str) -> DataFrame:
     points = V.intervals(spark, d, "view").select("episode", F.col("event_id").alias("point_no"), F.col("s").alias("t"))
     return I.asof_backward(points, V.intervals(spark, d, "click").withColumnRenamed("event_id", "cue_no"), ["episode"])
@@ -93,7 +93,7 @@ def turn_merge(spark: SparkSession, d: str) -> DataFrame:
     return S.turns(V.evt(spark, d), ["episode"], "flag")
 
 
-@book.add(f"with {V.IVA}, {V.IVB}, both as (select episode, s, e, slot, event_id, 'host' as source from iva union all select episode, s, e, slot, event_id, 'inserted' from ivb), dur as (select episode, max(e) as duration_ms from both group by episode), k as (select b.episode, s, e, event_id, source, duration_ms, case when source = 'inserted' and e >= duration_ms - 2000 then 'postroll' else case slot when 'pre' then 'preroll' when 'post' then 'postroll' else 'midroll' end end as kind from both b join dur using (episode)) select *, row_number() over (partition by episode order by s, e, source, kind) as span_no from k")
+@book.add(f"with {V.IVA}, {V.IVB}, two as (select episode, s, e, slot, event_id, 'host' as source from iva union all select episode, s, e, slot, event_id, 'inserted' from ivb), dur as (select episode, max(e) as duration_ms from two group by episode), k as (select b.episode, s, e, event_id, source, duration_ms, case when source = 'inserted' and e >= duration_ms - 2000 then 'postroll' else case slot when 'pre' then 'preroll' when 'post' then 'postroll' else 'midroll' end end as kind from two b join dur using (episode)) select *, row_number() over (partition by episode order by s, e, source, kind) as span_no from k")
 def truth_union(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("slot") == "pre", "preroll").when(F.col("slot") == "post", "postroll").otherwise("midroll")
     host, inserted = (V.intervals(spark, d, e).select("episode", "s", "e", "event_id", kind.alias("kind"), F.lit(s).alias("source")) for e, s in (("click", "host"), ("purchase", "inserted")))
@@ -107,13 +107,13 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return I.overlap_join(a, b, ["episode"]).select("episode", "event_id", "other", (F.least("e", "re") - F.greatest("s", "rs")).alias("overlap_ms"))
 
 
-@book.add(f"with {V.IVA}, {V.IVB}, pieces as (select episode, s, e - s as dur, s - coalesce(sum(e - s) over (partition by episode order by s, e - s rows between unbounded preceding and 1 preceding), 0) as at from iva), pts as (select episode, event_id as point_no, s as t from ivb) select p.episode, p.point_no, p.t, (p.t + coalesce(sum(i.dur) filter (i.at < p.t), 0))::bigint as shifted from pts p left join pieces i on i.episode = p.episode group by p.episode, p.point_no, p.t")
+@book.add(f"with {V.IVA}, {V.IVB}, pieces as (select episode, s, e - s as dur, s - coalesce(sum(e - s) over (partition by episode order by s, e - s rows between unbounded preceding and 1 preceding), 0) as pos from iva), pts as (select episode, event_id as point_no, s as t from ivb) select p.episode, p.point_no, p.t, (p.t + coalesce(sum(i.dur) filter (i.pos < p.t), 0))::bigint as shifted from pts p left join pieces i on i.episode = p.episode group by p.episode, p.point_no, p.t")
 def time_shift(spark: SparkSession, d: str) -> DataFrame:
     points = V.intervals(spark, d, "purchase").select("episode", F.col("event_id").alias("point_no"), F.col("s").alias("t"))
     return I.time_shift(points, V.intervals(spark, d, "click").select("episode", "s", (F.col("e") - F.col("s")).alias("dur")), ["episode"])
 
 
-@book.add(f"with {V.IVA}, {V.IVB}, {V.islands_sql('iva', 'a', 0, '')}, {V.islands_sql('ivb', 'b', 0, '')}, cut as (select a.episode, sum(least(a.e, b.e) - greatest(a.s, b.s)) as both from a join b on a.episode = b.episode and a.s < b.e and a.e > b.s group by a.episode), ta as (select episode, sum(e - s) as a_ms from a group by episode), tb as (select episode, sum(e - s) as b_ms from b group by episode) select ta.episode, a_ms::bigint as a_ms, b_ms::bigint as b_ms, coalesce(both, 0)::bigint as both_ms, coalesce(both, 0)::double / nullif(b_ms, 0) as recall, coalesce(both, 0)::double / nullif(a_ms, 0) as \"precision\" from ta join tb using (episode) left join cut using (episode)")
+@book.add(f"with {V.IVA}, {V.IVB}, {V.islands_sql('iva', 'a', 0, '')}, {V.islands_sql('ivb', 'b', 0, '')}, cut as (select a.episode, sum(least(a.e, b.e) - greatest(a.s, b.s)) as shared from a join b on a.episode = b.episode and a.s < b.e and a.e > b.s group by a.episode), ta as (select episode, sum(e - s) as a_ms from a group by episode), tb as (select episode, sum(e - s) as b_ms from b group by episode) select ta.episode, a_ms::bigint as a_ms, b_ms::bigint as b_ms, coalesce(shared, 0)::bigint as both_ms, coalesce(shared, 0)::double / nullif(b_ms, 0) as recall, coalesce(shared, 0)::double / nullif(a_ms, 0) as \"precision\" from ta join tb using (episode) left join cut using (episode)")
 def interval_compare(spark: SparkSession, d: str) -> DataFrame:
     total = lambda df, c: df.groupBy("episode").agg(F.sum(F.col("e") - F.col("s")).alias(c))
     a, b = (S.merge_intervals(V.intervals(spark, d, e), ["episode"]) for e in ("click", "purchase"))
@@ -121,7 +121,7 @@ def interval_compare(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"recall": F.col("both_ms") / F.nullif("b_ms", F.lit(0)), "precision": F.col("both_ms") / F.nullif("a_ms", F.lit(0))})
 
 
-@book.add("select user_id as episode, epoch_ms(ts) + case when event_id % 4 = 0 then 0 else 1500 end as s, epoch_ms(ts) + 5000 + case when event_id % 4 = 0 then 0 else 1500 end as e, event_type as category, case when event_id % 10 = 0 then 'gold' when event_id % 3 >= 2 then 'silver' else 'bronze' end as tier from events where event_type in ('click', 'signup')")
+@book.add("select user_id as episode, (epoch_us(ts) // 1000) + case when event_id % 4 = 0 then 0 else 1500 end as s, (epoch_us(ts) // 1000) + 5000 + case when event_id % 4 = 0 then 0 else 1500 end as e, event_type as category, case when event_id % 10 = 0 then 'gold' when event_id % 3 >= 2 then 'silver' else 'bronze' end as tier from events where event_type in ('click', 'signup')")
 def silver_labels(spark: SparkSession, d: str) -> DataFrame:
     from spanloom.functions.times import stamp_ms
 
@@ -134,7 +134,7 @@ def silver_labels(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@book.add("with s as (select user_id, ts, event_id, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from (select *, case when lag(ts) over w is null or epoch_ms(ts) - epoch_ms(lag(ts) over w) > 3600000 then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id))) select user_id as episode, session::bigint as session, count(*) as events, min(epoch_ms(ts)) as s, max(epoch_ms(ts)) as e from s group by user_id, session")
+@book.add("with s as (select user_id, ts, event_id, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from (select *, case when lag(ts) over w is null or (epoch_us(ts) // 1000) - (epoch_us(lag(ts) over w) // 1000) > 3600000 then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id))) select user_id as episode, session::bigint as session, count(*) as events, min((epoch_us(ts) // 1000)) as s, max((epoch_us(ts) // 1000)) as e from s group by user_id, session")
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     from spanloom.functions.times import stamp_ms
 
@@ -143,7 +143,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("episode", F.col("island").alias("session")).agg(F.count(F.lit(1)).alias("events"), F.min("s").alias("s"), F.max("e").alias("e"))
 
 
-@book.add("select epoch_ms(time_bucket(interval '1 hour', ts)) as w, event_type, count(*) as n, sum(value) as v from events group by 1, 2")
+@book.add("select (epoch_us(time_bucket(interval '1 hour', ts)) // 1000) as w, event_type, count(*) as n, sum(value) as v from events group by 1, 2")
 def event_window(spark: SparkSession, d: str) -> DataFrame:
     from spanloom.functions.times import stamp_ms
 
@@ -173,7 +173,7 @@ def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
     return upsert(old, t.where("event_id % 2 = 1 and event_type <> 'view'").withColumn("source", F.lit("new")), ["user_id", "event_type"], ["event_id"])
 
 
-@book.add("select user_id, event_id, (sum(value) over (partition by user_id order by epoch_ms(ts) range between 3600000 preceding and current row)) as spent from events")
+@book.add("select user_id, event_id, (sum(value) over (partition by user_id order by (epoch_us(ts) // 1000) range between 3600000 preceding and current row)) as spent from events")
 def trailing_budget(spark: SparkSession, d: str) -> DataFrame:
     from spanloom.functions.times import stamp_ms
 

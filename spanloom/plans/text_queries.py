@@ -61,9 +61,9 @@ def ts_parse(spark: SparkSession, d: str) -> DataFrame:
     return t.select("episode", "idx", "stamp", times.parse_stamp("stamp").alias("parsed"), times.parse_stamp(times.format_stamp("start", ",")).alias("comma"))
 
 
-@book.add("select doc_id, (length(coalesce(text, '')) // 4 + 8)::bigint as tokens, round((length(coalesce(text, '')) // 4 + 8) * 2.5 / 1000000, 6)::double as cost from documents")
+@book.add("select doc_id, (length(coalesce(text, '')) // 4 + 8)::bigint as tokens, ((length(coalesce(text, '')) // 4 + 8) * 2.5::double + 0) / 1000000 as cost from documents")
 def token_cost(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "documents").select("doc_id", text.token_estimate("text").alias("tokens")).withColumn("cost", F.round(spans.cost("tokens", F.lit(0), F.lit(2.5), F.lit(0.0)), 6))
+    return V.read(spark, d, "documents").select("doc_id", text.token_estimate("text").alias("tokens")).withColumn("cost", spans.cost("tokens", F.lit(0), F.lit(2.5), F.lit(0.0)))
 
 
 _PLAN = f"""{V.LINES}, cost as (select episode, idx, (length(text) // 4 + 8)::bigint as c from lines), tot as (select episode, count(*) as n, sum(c) as total from cost group by episode),
@@ -202,7 +202,7 @@ def envelope_stats(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "embeddings").select("vec_id", "label", (total(lambda x: x) / F.size("embedding")).alias("mean"), F.sqrt(total(lambda x: x * x) / F.size("embedding")).alias("rms"))
 
 
-@book.add("with s as (select vec_id, list_transform(embedding, lambda x: x::double) as signal from embeddings), w as (select vec_id, signal, (vec_id % 40)::int as at from s) select vec_id as pair_id, at as \"offset\", true as sure from w")
+@book.add("with s as (select vec_id, list_transform(embedding, lambda x: x::double) as signal from embeddings), w as (select vec_id, signal, (vec_id % 40)::int as pos from s) select vec_id as pair_id, pos as \"offset\", true as sure from w")
 def ncc_align(spark: SparkSession, d: str) -> DataFrame:
     signal = F.col("embedding").cast("array<double>")
     pairs = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("pair_id"), signal.alias("signal"), F.transform(F.slice(signal, (F.col("vec_id") % 40 + 1).cast("int"), 20), lambda x: x * 3 + 1).alias("key"))

@@ -39,7 +39,7 @@ def evt(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-EVT = """evt0 as (select user_id as episode, event_id, event_type, value, epoch_ms(ts) as start_ms from events),
+EVT = """evt0 as (select user_id as episode, event_id, event_type, value, (epoch_us(ts) // 1000) as start_ms from events),
 evt as (select *, (row_number() over w - 1)::int as idx, coalesce(lead(start_ms) over w, start_ms + 60000) as end_ms,
   case when event_type in ('click', 'purchase') then 'a' when event_type = 'view' then 'u' else 'c' end as flag, case when value >= 60 then 'a' else 'c' end as tflag,
   case event_id % 3 when 0 then 'h' when 1 then 'i' else '?' end as delivery, (['preroll', 'midroll', 'postroll', 'house', 'other'])[(event_id % 5 + 1)::int] as kind, least(1.0::double, greatest(0.0::double, value / 200)) as confidence
@@ -64,7 +64,7 @@ marked as (select *, sum(new) over (partition by episode order by start_index, e
     select *, max(end_index) over (partition by episode order by start_index, end_index, ord rows between unbounded preceding and 1 preceding) as reach from cand))),
 merged as (select episode, min(start_index) as start_index, max(end_index) as end_index, min(confidence) as confidence, arg_min(kind, (start_index, end_index, ord)) as kind,
   arg_min(evidence, (start_index, end_index, ord)) filter (evidence <> '') as evidence, arg_min(end_evidence, (start_index, end_index, ord)) as end_evidence from marked group by episode, island),
-timed as (select m.*, a.start_ms as s, b.end_ms as e, case when confidence >= 0.75 then 'ad' when confidence >= 0.4 then 'uncertain' else 'content' end as state
+timed as (select m.*, a.start_ms as s, b.end_ms as e, case when m.confidence >= 0.75 then 'ad' when m.confidence >= 0.4 then 'uncertain' else 'content' end as state
   from merged m join evt a on a.episode = m.episode and a.idx = m.start_index join evt b on b.episode = m.episode and b.idx = m.end_index)"""
 
 
@@ -83,7 +83,7 @@ def intervals(spark: SparkSession, d: str, event: str) -> DataFrame:
 
 
 def _intervals_sql(name: str, event: str) -> str:
-    return f"{name} as (select user_id as episode, epoch_ms(ts) as s, epoch_ms(ts) + cast(round(value * 60000) as bigint) as e, (['pre', 'mid', 'post'])[(event_id % 3 + 1)::int] as slot, event_id from events where event_type = '{event}')"
+    return f"{name} as (select user_id as episode, (epoch_us(ts) // 1000) as s, (epoch_us(ts) // 1000) + cast(round(value * 60000) as bigint) as e, (['pre', 'mid', 'post'])[(event_id % 3 + 1)::int] as slot, event_id from events where event_type = '{event}')"
 
 
 IVA, IVB = _intervals_sql("iva", "click"), _intervals_sql("ivb", "purchase")
