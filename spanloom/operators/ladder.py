@@ -15,6 +15,7 @@ from spanloom.functions.spans import kind_or_default, state_for
 from spanloom.functions.text import question_count, quote_matches
 from spanloom.operators.intervals import explode_indices
 from spanloom.operators.islands import merge_spans
+from spanloom.store import settle
 
 
 def parse_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +92,7 @@ def run_pass(segments: DataFrame, chunks: DataFrame, replies: DataFrame) -> tupl
     log = log.unionByName(more)
     spans, more = cap_duration(timed(spans, segments))
     log = log.unionByName(more)
-    spans = merge_spans(spans, ["episode", "chunk"])
+    spans = settle(merge_spans(spans, ["episode", "chunk"]))
     spans, more = check_evidence(spans, segments)
     log = log.unionByName(more)
     spans = check_dialogue(spans, segments)

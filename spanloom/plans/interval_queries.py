@@ -97,7 +97,8 @@ def turn_merge(spark: SparkSession, d: str) -> DataFrame:
 def truth_union(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("slot") == "pre", "preroll").when(F.col("slot") == "post", "postroll").otherwise("midroll")
     host, inserted = (V.intervals(spark, d, e).select("episode", "s", "e", "event_id", kind.alias("kind"), F.lit(s).alias("source")) for e, s in (("click", "host"), ("purchase", "inserted")))
-    return merge_truth(host, inserted, host.unionByName(inserted).groupBy("episode").agg(F.max("e").alias("duration_ms")))
+    out = merge_truth(host, inserted, host.unionByName(inserted).groupBy("episode").agg(F.max("e").alias("duration_ms")))
+    return out.withColumn("span_no", F.col("span_no").cast("long"))
 
 
 @book.add(f"with {V.IVA}, {V.IVB} select a.episode, a.event_id, b.event_id as other, least(a.e, b.e) - greatest(a.s, b.s) as overlap_ms from iva a join ivb b on a.episode = b.episode and a.s < b.e and a.e > b.s")

@@ -167,3 +167,14 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
 @book.add(f"with {V.SPANS} select episode, count(distinct idx) as covered from (select episode, unnest(range(start_index, end_index + 1)) as idx from cand) group by episode")
 def covered_indices(spark: SparkSession, d: str) -> DataFrame:
     return explode_indices(V.spans(spark, d)).select("episode", "idx").distinct().groupBy("episode").agg(F.count(F.lit(1)).alias("covered"))
+
+
+@book.add()
+def classify_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """The whole classification on conversations, with system turns and questions as a rule's candidates."""
+    from spanloom.operators.propose import RuleProposer
+    from spanloom.plans.classify import classify
+
+    words = F.array().cast("array<struct<w:string,s:bigint,e:bigint>>").alias("words")
+    segments = V.conv(spark, d).select("episode", "idx", "start", "end", "text", "role", words)
+    return classify(segments, RuleProposer(F.col("role") == "system"), 400, 3).episodes
