@@ -42,7 +42,7 @@ def parse_captions(files: DataFrame) -> DataFrame:
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path).select(stem_of_path("_metadata.file_path").alias("episode"), F.col("value").alias("raw"))
+    files = spark.read.text(path, wholetext=True).select(stem_of_path("_metadata.file_path").alias("episode"), F.col("value").alias("raw"))
     return parse_captions(files)
 
 

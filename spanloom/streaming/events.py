@@ -34,16 +34,12 @@ def stream_breaks(creatives: DataFrame, gap_ms: int = C.BREAK_GAP_MS, late: str
 
 def stream_runs(flags: DataFrame) -> DataFrame:
     """Closed runs of equal flags (episode, idx, flag) as the segments of an episode arrive in order; the open run is the
-    episode's state and comes out after an hour without input."""
+    episode's state, and a row with a null flag (the end of the episode) closes it."""
     out = "episode string, flag string, first_idx int, last_idx int"
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run = list(state.get) if state.exists else None
         closed = []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], *run)], columns=["episode", "flag", "first_idx", "last_idx"])
-            return
         rows = pd.concat(list(batches)).sort_values("idx")
         for idx, flag in zip(rows.idx.tolist(), rows.flag.tolist(), strict=True):
             if run and run[0] == flag and idx == run[2] + 1:
@@ -51,12 +47,14 @@ def stream_runs(flags: DataFrame) -> DataFrame:
             elif not run or idx > run[2]:
                 if run:
                     closed.append((key[0], *run))
-                run = [flag, idx, idx]
-        state.update(tuple(run))
-        state.setTimeoutDuration(3_600_000)
+                run = None if flag is None else [flag, idx, idx]
+        if run:
+            state.update(tuple(run))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(closed, columns=["episode", "flag", "first_idx", "last_idx"])
 
-    return flags.groupBy("episode").applyInPandasWithState(step, out, "flag string, first_idx int, last_idx int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return flags.groupBy("episode").applyInPandasWithState(step, out, "flag string, first_idx int, last_idx int", "append", GroupStateTimeout.NoTimeout)
 
 
 def once(requests: DataFrame, late: str = "1 hour") -> DataFrame:
