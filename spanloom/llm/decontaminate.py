@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.textarrays import doc_words, mix64, utf8
 
-# The masks; 1 is compared, 0 ignored.
-MASKS = ("11111", "1101011", "110010101", "1010010011")
+# The masks; 1 is compared, 0 ignored.  Whatever the places of the unequal tokens, every window of 5 to 12
+# tokens that reaches PERCENT holds one of them with equal tokens, so no overlap is missed.
+MASKS = ("1111", "10111", "11011", "11101", "100111")
 WINDOW = 12
 PERCENT = 75
 #: Items of fewer tokens are no evidence of anything and are not searched.
