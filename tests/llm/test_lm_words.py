@@ -1,0 +1,25 @@
+"""Dictionary words are coded by the bit mixer, under contexts that reach over word borders."""
+
+import numpy as np
+
+from spanloom.llm import lm_score
+
+
+def test_word_before_counts(spark):
+    """Equal words in another order cost more where the training texts always have them in one order."""
+    rows = [(i, f"w{i % 7} red fox w{i % 5} old dog") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (1001, "red fox old dog"), (1001, "fox red dog old")], "doc_id long, text string")
+    got = [r.score for r in lm_score.lm_scores(docs).where("doc_id = 1001").orderBy("score").collect()]
+    assert got[1] - got[0] > 0.5
+
+
+def test_paths_are_a_distribution():
+    counts = np.array([5, 1, 9, 2, 2, 40])
+    tree = lm_score.Tree.of(counts)
+    shares = np.stack([counts / counts.sum(), np.full(6, 1 / 6)], axis=1)
+    ones = tree.ones(shares)
+    node, bit, word = tree.path(np.arange(6))
+    for k in range(2):
+        p = np.where(bit, ones[node, k], 1 - ones[node, k])
+        assert np.allclose([np.prod(p[word == w]) for w in range(6)], shares[:, k], atol=1e-5)
+    assert lm_score.Tree.of(np.array([3])).path(np.zeros(2, np.int64))[0].size == 0
