@@ -23,3 +23,13 @@ def test_paths_are_a_distribution():
         p = np.where(bit, ones[node, k], 1 - ones[node, k])
         assert np.allclose([np.prod(p[word == w]) for w in range(6)], shares[:, k], atol=1e-5)
     assert lm_score.Tree.of(np.array([3])).path(np.zeros(2, np.int64))[0].size == 0
+
+
+def test_dictionary_grows_with_the_corpus(spark):
+    """Every word that occurs twice is in the dictionary, however many there are, and spelling gets more slots."""
+    n = 310_000
+    twice = " ".join(f"w{k}" for k in range(n))
+    once = " ".join(f"x{k}" for k in range(300_000))
+    model = lm_score.learn(spark.createDataFrame([(twice,), (twice,), (once,)], "text string"))[0]
+    assert model.words.size == n and model.counts.sum() == 2 * n
+    assert model.stretch.size == lm_score.ORDERS << 17
