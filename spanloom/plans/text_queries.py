@@ -138,7 +138,7 @@ def quote_match(spark: SparkSession, d: str) -> DataFrame:
 @book.add(f"""with {V.LINES}, l as (select *, lead(text) over (partition by episode order by idx) as t1 from lines), q as (select *, array_to_string(list_slice(string_split(text || ' ' || t1, ' '), greatest(1, len(string_split(text, ' ')) - 1), greatest(1, len(string_split(text, ' ')) - 1) + 4), ' ') as quote from l where t1 is not null and episode % 10 = 0)
 select episode, idx, contains({_norm_sql('text')}, {_norm_sql('quote')}) as first, contains({_norm_sql("text || ' ' || t1")}, {_norm_sql('quote')}) as across from q where {_norm_sql('quote')} <> ''""")
 def quote_straddle(spark: SparkSession, d: str) -> DataFrame:
-    t = V.lines(spark, d).where("episode % 10 = 0").withColumn("t1", F.lead("text").over(Window.partitionBy("episode").orderBy("idx"))).where("t1 is not null")
+    t = V.lines(spark, d).withColumn("t1", F.lead("text").over(Window.partitionBy("episode").orderBy("idx"))).where("t1 is not null")
     at = F.greatest(F.lit(1), F.size(F.split("text", " ")) - 1)
     both = F.concat("text", F.lit(" "), "t1")
     t = t.withColumn("quote", F.array_join(F.slice(F.split(both, " "), at, 5), " ")).where(text.normalize_quote("quote") != "")
@@ -192,7 +192,7 @@ def copy_verdict(spark: SparkSession, d: str) -> DataFrame:
 def json_extract(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 4
     reply = F.when(k == 0, F.concat(F.lit('{"a":'), F.col("user_id").cast("string"), F.lit("}"))).when(k == 1, F.lit('<think>{no}</think>here {oops} it is: {"s": "}"} end')).when(k == 2, F.lit('text {"b":{"c":[1]}} more')).otherwise(F.lit("no object { at all"))
-    t = V.read(spark, d, "events").where("event_id % 10 < 4").select("event_id", model_json.extract_object(reply).alias("obj"))
+    t = V.read(spark, d, "events").select("event_id", model_json.extract_object(reply).alias("obj"))
     return t.select("event_id", F.col("obj").isNotNull().alias("found"), "obj")
 
 
