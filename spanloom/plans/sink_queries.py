@@ -67,21 +67,13 @@ a2 as (select *, count(*) over (partition by episode) as n, row_number() over (p
 
 @book.add(f"with {_CHAPTERS} select episode, no::int as no, s as start, e as \"end\", title, id from a2 where n >= 3")
 def chapters(spark: SparkSession, d: str) -> DataFrame:
-    """Chapter lists of episodes of three chapters and more; halving shorter ones is tested apart."""
-    from pyspark.sql.window import Window
-
-    media, spans = V.record(spark, d)
-    out = exporters.chapter_list(media, spans).select("episode", "no", "start", "end", "title", "id")
-    made = out.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("episode")))
-    enough = spans.groupBy("episode").agg(F.count(F.lit(1)).alias("k")).where("k >= 3")
-    return made.where("n >= 3").drop("n").join(enough.select("episode"), "episode", "left_semi")
+    """Chapter lists of all episodes, short ones halved."""
+    return exporters.chapter_list(*V.record(spark, d)).select("episode", "no", "start", "end", "title", "id")
 
 
 @book.add(f"with {_CHAPTERS} select episode, ';FFMETADATA1' || chr(10) || string_agg(chr(10) || '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || s || chr(10) || 'END=' || e || chr(10) || 'title=' || title || chr(10), '' order by no) as body from a2 where episode in (select episode from rec group by episode having count(*) >= 3) group by episode")
 def export_ffmeta(spark: SparkSession, d: str) -> DataFrame:
-    media, spans = V.record(spark, d)
-    enough = spans.groupBy("episode").agg(F.count(F.lit(1)).alias("k")).where("k >= 3")
-    return exporters.ffmeta(media, spans).join(enough.select("episode"), "episode", "left_semi")
+    return exporters.ffmeta(*V.record(spark, d))
 
 
 @book.add()
