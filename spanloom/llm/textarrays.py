@@ -69,18 +69,18 @@ def _hash_words(raw: np.ndarray, cuts: np.ndarray, spaces: np.ndarray = _SPACE,
     return mix64(np.add.reduceat(h, first)), np.searchsorted(at[first], cuts), at[first], size
 
 
-def doc_tokens(raw: np.ndarray, off: np.ndarray, spaces: np.ndarray = _SPACE, lower: np.ndarray = _LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def doc_tokens(raw: np.ndarray, off: np.ndarray, spaces: np.ndarray = _SPACE, lower: np.ndarray = _LOWER, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row after the last, word hashes, word offsets by row, begins in raw, sizes) for runs of rows of about
-    SLICE_BYTES.
+    slice_bytes.
 
     A longer text comes alone; it is hashed in pieces that end at white space, and only its hashes are held whole.
     """
     row, rows = 0, off.size - 1
     while row < rows:
-        if off[row + 1] - off[row] > SLICE_BYTES:
+        if off[row + 1] - off[row] > slice_bytes:
             parts, a, end = [], int(off[row]), int(off[row + 1])
             while a < end:
-                b = min(a + SLICE_BYTES, end)
+                b = min(a + slice_bytes, end)
                 while b < end and not spaces[raw[b]]:
                     gap = np.flatnonzero(spaces[raw[b : b + 4096]])
                     b = b + int(gap[0]) if gap.size else min(b + 4096, end)
@@ -91,7 +91,7 @@ def doc_tokens(raw: np.ndarray, off: np.ndarray, spaces: np.ndarray = _SPACE, lo
             yield row, row + 1, words, np.array([0, words.size]), begins, sizes
             row += 1
             continue
-        last = max(row + 1, int(np.searchsorted(off, off[row] + SLICE_BYTES, "right")) - 1)
+        last = max(row + 1, int(np.searchsorted(off, off[row] + slice_bytes, "right")) - 1)
         words, at, begins, sizes = _hash_words(raw[off[row] : off[last]], off[row : last + 1] - off[row], spaces, lower)
         at = at.copy()
         at[-1] = words.size

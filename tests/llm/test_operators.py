@@ -238,25 +238,6 @@ def test_lm(spark, docs):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
-def test_lm_probabilities():
-    """Bits of all words of one byte, stop included, are a distribution."""
-    code = lm_score.Code.of(np.arange(256))
-    stretch = np.random.default_rng(1).normal(size=lm_score.ORDERS * lm_score._SLOTS).astype(np.float32)
-    total = 0.0
-    raw = np.arange(256, dtype=np.uint8)
-    for b in range(256):
-        slots, bit, _ = lm_score.spelled_bits(raw, np.array([b]), np.array([1]), np.array([0]), code)
-        first = slice(0, code.sizes[lm_score._LOWER[b]])
-        x = np.concatenate((stretch[slots].T, np.full((bit.size, 1), 0.3)), axis=1)[first]
-        p = 1 / (1 + np.exp(-x.sum(axis=1)))
-        total += float(np.prod(np.where(bit[first], p, 1 - p))) if lm_score._LOWER[b] == b else 0.0
-    upper = 0.0
-    for c in range(65, 91):
-        node, bits = code.nodes[c, : code.sizes[c]], code.bits[c, : code.sizes[c]]
-        upper += bool(node.size and bits.size)
-    assert total <= 1 + 1e-6 and upper == 26
-
-
 def test_tool_calls(spark):
     turns = [
         (1, 0, "user", "hi \"x\"\n"), (1, 1, "assistant", "yo"), (1, 2, "user", None), (2, 0, "system", "s"), (2, 1, "assistant", "orphan"), (None, 0, "user", "lost"),
