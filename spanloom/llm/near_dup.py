@@ -243,9 +243,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (pa.RecordBatch.from_arrays([batch["row"], *(found[c] for c in ("doc_id", "n_shingles", "h1", "h2"))], ["row", "doc_id", "n_shingles", "h1", "h2"]) for found in _described(iter([batch])))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, and one of rows that repeat a doc_id."""
-    found = near_duplicates(docs)
-    gone = found.where("not kept").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return with_id.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stay: those of one document of each component.
+
+    Rows that share a doc_id are one document: of its rows with equal shingle sets the least (by text, then by the other
+    columns) stays, rows with other sets stay too.  Rows without doc_id stay.  The other columns must be orderable.
+    """
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    with_id = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = settle(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    several = with_id.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("text", *[c for c in docs.columns if c != "text"]).alias("row"))
+    kind = several.schema["row"].dataType.simpleString()
+    several = several.mapInArrow(_with_set, f"row {kind}, doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint").groupBy("doc_id", "n_shingles", "h1", "h2").agg(F.min("row").alias("row")).select("row.*")
+    single = with_id.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return single.unionByName(several.select(docs.columns)).unionByName(docs.where("doc_id is null"))
