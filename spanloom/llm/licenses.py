@@ -8,7 +8,8 @@ whole notice and reports the span and its edits.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -90,27 +91,31 @@ def phrase_places(words: str) -> dict[str, list[int]]:
 
 
 def notices(words: str) -> list[Span]:
-    """Notices within their edits, of reduced text; of one notice no two spans overlap."""
+    """Notices within their edits, of reduced text; of one notice no two spans overlap: those of fewest edits stay.
+
+    Every seed is searched in a window of its own, so that a better notice nearby hides none.
+    """
     automaton, patterns = _search()
-    windows: dict[str, list[list[int]]] = {}
+    windows: dict[str, set[int]] = {}
     for end, (size, places) in automaton.iter(words):
         for notice, at in places:
-            edits = patterns[notice][1]
-            begin = end - size + 1 - at
-            a, b = max(0, begin - edits), min(len(words), begin + len(notice) + edits)
-            spans = windows.setdefault(notice, [])
-            if spans and a <= spans[-1][1]:
-                spans[-1] = [min(a, spans[-1][0]), max(b, spans[-1][1])]
-            else:
-                spans.append([a, b])
+            windows.setdefault(notice, set()).add(end - size + 1 - at)
     out = []
-    for notice, spans in windows.items():
+    for notice, begins in windows.items():
         pattern, most = patterns[notice]
-        for a, b in spans:
-            for m in pattern.finditer(words, a, b):
-                edits = sum(m.fuzzy_counts)
-                first = words.count(" ", 0, m.start() + (words[m.start()] == " "))
-                out.append(Span(NOTICES[notice], first, words[m.start() : m.end()].strip().count(" ") + 1, edits, 1 - edits / (2 * (most + 1))))
+        found = set()
+        for begin in begins:
+            m = pattern.search(words, max(0, begin - most), min(len(words), begin + len(notice) + most))
+            if m:
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        held: list[tuple[int, int]] = []
+        for edits, a, b in sorted(found):
+            k = bisect(held, (a, b))
+            if (k and held[k - 1][1] > a) or (k < len(held) and held[k][0] < b):
+                continue
+            held.insert(k, (a, b))
+            first = words.count(" ", 0, a + (words[a] == " "))
+            out.append(Span(NOTICES[notice], first, words[a:b].strip().count(" ") + 1, edits, 1 - edits / (2 * (most + 1))))
     return sorted(out, key=lambda s: (s.first_word, s.label))
 
 
@@ -136,7 +141,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Score is 1 for an unchanged notice, 0.75 at least for a phrase, less for each edit, 0 if nothing is found.  Null and
     empty texts have no words and no labels (empty strings).  Repeated rows give repeated results, an empty table an
-    empty one.
+    empty one.  Texts of any length are searched whole; a null doc_id stays null; more columns are ignored.
     """
     schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label: string, first_word: bigint, n_words: bigint, edits: bigint>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanned, schema)
