@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon.
 
 Text is folded one character to one: lower case, homoglyphs of Latin letters to those letters, digits and signs that
-stand for letters to those letters.  An Aho-Corasick automaton finds the lexicon's words and the exception phrases in
+stand for letters to those letters; the signs for i also stand for l, so l folds to i.  An Aho-Corasick automaton finds the lexicon's words and the exception phrases in
 the folded text; a word inside an exception phrase doesn't count.  The weights of what remains, one for each word of
 the text, are summed and divided by the text's number of words plus SLACK.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # What folding maps, in natural order.
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+SUBSTITUTES = {"!": "i", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "l": "i", "|": "i"}
 GREEK = dict(zip("αβγεηικνορτυχω", "abyenikvoptuxw", strict=True))
 CYRILLIC = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w",
@@ -36,26 +36,26 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "idiot proof"
 
 #: Labelled rows that the lexicon and the threshold are learned from, at most (more or less; a hash of doc_id chooses).
 TRAIN_ROWS = 40_000
-#: Words of the lexicon, at most: those of the largest weights.
-MAX_TERMS = 20_000
 MIN_DOCS = 3
 MIN_WEIGHT = 2.0
 STEM = 4
 SLACK = 50
 CUT = 0.3
 
-_HOMOGLYPHS = str.maketrans(GREEK | CYRILLIC | {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0xFF10 + k): SUBSTITUTES.get(str(k), str(k)) for k in range(10)} | {"ı": "i", "ɑ": "a", "ɡ": "g"})
-_MAY_FOLD = re.compile("[ıɑɡͰ-ӿԀ-ԯ０-ｚ]")
+_HOMOGLYPHS = str.maketrans(GREEK | CYRILLIC | {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0xFF10 + k): SUBSTITUTES.get(str(k), str(k)) for k in range(10)} | {"ı": "i", "ɑ": "a", "ɡ": "g"} | dict(zip("ⅰⅴⅹⅼⅽⅾⅿ", "ivxicdm", strict=True)))
+_MAY_FOLD = re.compile("[ıɑɡͰ-ӿԀ-ԯⅰ-ⅿ０-ｚ]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str | None) -> str:
     """The folded text; of the same length where lower-casing keeps the length.  Null is empty."""
     text = (text or "").lower()
+    if _MAY_FOLD.search(text):
+        text = text.translate(_HOMOGLYPHS)
     for sign, letter in SUBSTITUTES.items():
         if sign in text:
             text = text.replace(sign, letter)
-    return text.translate(_HOMOGLYPHS) if _MAY_FOLD.search(text) else text
+    return text
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,7 @@ def learn(train: DataFrame) -> Lexicon:
         counts.unpersist()
         return Lexicon({})
     weight = F.log(((F.col("n1") + 0.5) / (total.n1 + 1)) / ((F.col("n0") + 0.5) / (total.n0 + 1)))
-    terms = counts.where(f"term <> '' and n1 >= {MIN_DOCS}").withColumn("weight", weight).where(f"weight >= {MIN_WEIGHT}").orderBy(F.desc("weight"), "term").limit(MAX_TERMS).collect()
+    terms = counts.where(f"term <> '' and n1 >= {MIN_DOCS}").withColumn("weight", weight).where(f"weight >= {MIN_WEIGHT}").collect()
     counts.unpersist()
     lefts = {r.term: r.n for r in train.where("toxic = 1").mapInArrow(_neighbours(frozenset(t.term for t in terms)), "term string, left string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
     weights = {t.term: t.weight for t in terms if lefts.get(t.term, 0) >= max(MIN_DOCS, min(0.25 * t.n1, 50))}
@@ -198,7 +198,8 @@ def toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text).
 
     Null and empty texts score 0.  A null doc_id is held out unless crc32 says otherwise: it counts as false.  Repeated
-    rows give repeated results, an empty table an empty one.
+    rows give repeated results, an empty table an empty one.  Texts of any length are read whole; more columns are
+    ignored.
     """
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(lexicon), "doc_id bigint, score double")
     return scored.select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

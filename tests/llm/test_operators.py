@@ -80,7 +80,10 @@ def test_near_duplicates(spark, docs, monkeypatch):
 
 def test_drop_near_duplicates(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (3, "x"), (None, "a b c d e f"), (4, None)]
+    rows += [(5, "p q r s t u"), (5, "quite another text of more words"), (5, "P Q R S T U"), (6, ""), (6, None)]
     kept = near_dup.drop_near_duplicates(frame(spark, rows))
+    assert sorted(r.text or "" for r in kept.collect() if r.doc_id in (5, 6)) == ["", "P Q R S T U", "quite another text of more words"]
+    kept = kept.where("coalesce(doc_id, 0) < 5")
     assert sorted((str(r.doc_id) for r in kept.collect())) == ["1", "3", "4", "None"] and kept.columns == frame(spark, rows).columns
     assert near_dup.near_duplicates(frame(spark, []).limit(0)).count() == 0
 
@@ -180,7 +183,7 @@ def test_toxicity(spark):
     rows += [(400, None), (401, ""), (None, "scumbag")]
     lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id bigint, toxic int")
     lexicon = toxicity.learn(toxicity.labelled(frame(spark, rows), lab))
-    assert {"scumbag", "vilething"} <= set(lexicon.weights)
+    assert {"scumbag", toxicity.fold("vilething")} <= set(lexicon.weights)
     truth = dict(labels)
     got = toxicity.toxicity(frame(spark, rows), lexicon).collect()
     assert len(got) == len(rows)
@@ -193,9 +196,10 @@ def test_toxicity(spark):
 
 
 def test_toxic_exceptions():
-    a = toxicity.Lexicon({"trash": 4.0, "lowe*": 3.0}).automaton()
+    a = toxicity.Lexicon({"trash": 4.0, toxicity.fold("lowe*"): 3.0, toxicity.fold("loser"): 2.0, toxicity.fold("vile"): 2.0}).automaton()
     d = lambda t: toxicity.density(t, a)
     assert d("a trash can") == 0 and d("TRA5H talk") > 0 and d("trashy") == 0 and d("loweich") > 0 and d("a loweich trash") > d("a loweich b") and d(None) == 0 and d("tгash") == 0
+    assert d("1oser") == d("loser") == d("v!le") == d("viⅼe") == d("|oser") > 0 and d("sore l0ser") == 0
 
 
 def test_licenses(spark):
@@ -205,6 +209,18 @@ def test_licenses(spark):
     assert got[0].score == 1 and "apache-2.0" in got[1].labels and got[1].spans[0].edits == 2 and got[3].score == 0
 
 
+def test_neighbouring_notices(spark):
+    spans = lambda t: [(s.label, s.first_word, s.edits) for s in licenses.notices(licenses.reduced(t)[1]) if s.label in ("mit", "lgpl")]
+    assert spans("released under the mit licence released under the mit license") == [("mit", 0, 1), ("mit", 5, 0)]
+    assert spans("relased under the mt license relased under the mt license released under the mit license") == [("mit", 0, 2), ("mit", 5, 2), ("mit", 10, 0)]
+    assert spans("Licensed under the GNU Leser General Public License, licensed under the GNU Lesser General Public License") == [("lgpl", 0, 1), ("lgpl", 8, 0)]
+    long = "word " * 50_000 + "released under the mit license"
+    rows = [(1, long), (None, "mit license"), (None, None)]
+    got = licenses.scan_licenses(frame(spark, rows)).collect()
+    assert sorted((r.n_words, r.first_word or 0) for r in got) == [(0, 0), (2, 0), (50_005, 50_003)]
+    assert licenses.scan_licenses(frame(spark, []).limit(0)).count() == 0
+
+
 def test_token_counts(spark, docs, monkeypatch):
     import public_tokenizers
     import sentencepiece
