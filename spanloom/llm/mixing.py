@@ -3,11 +3,12 @@
 1. Targets.  Sources in code-point order, null last, weigh 3, 1, 2, repeating, and share SHARE of all words.  A target
    stops at LIMIT times its source's size and the excess is reshared by weight, which is water-filling: in order of
    limit by weight, a source is at its limit while the rest of the budget by weight allows more.
-2. Seats.  The budget is cut into blocks of BLOCK words, which go to the sources by highest quotients target / (2k+1),
-   and each source's blocks to its shards in the same way by shard size.  Seats below the bound that any divisor gives
-   are taken at once; only two or so quotients a member are ranked.
-3. Blocks.  A shard's documents stand end to end in a seeded order.  A quota takes every block as often as it goes
-   round, and the rest of it takes the first blocks of a seeded permutation of the shard's blocks once more.
+2. Seats.  The words of the budget go to the sources by highest quotients target / (2k+1), and each source's words to
+   its shards in the same way by shard size, so that quotas are whole numbers and the smallest source has its share.
+   Seats below the bound that any divisor gives are taken at once; only two or so quotients a member are ranked.
+3. Blocks.  A shard's documents stand end to end in a seeded order and are cut into blocks of BLOCK words.  A quota takes
+   every block as often as it goes round, and the rest of it takes the first blocks of a seeded permutation of the whole
+   blocks once more: the last of them in part, and of the shard's last words, which fill no block, what is then left.
 
 A source is cut into shards of about SHARD words, so a hot source is many groups; texts are never shuffled.
 """
@@ -32,9 +33,10 @@ _A = 2_147_483_629
 SPACES = "[^\\x20\\x09-\\x0D]+"
 
 
-def _hash(doc_id: str) -> Column:
-    """A seeded hash below 2**31 - 1 by integer arithmetic, so that any SQL engine repeats it; null counts as -1."""
-    h = F.expr(f"pmod(coalesce({doc_id}, -1), {_M}) * 48271 % {_M}")
+def _hash(doc_id: str, size: str) -> Column:
+    """A seeded hash below 2**31 - 1 by integer arithmetic, so that any SQL engine repeats it; a null doc_id counts as -1.
+    The size spreads rows that share a doc_id."""
+    h = F.expr(f"(pmod(coalesce({doc_id}, -1), {_M}) * 48271 + {size} % {_M} * 69621) % {_M}")
     return (h * h + h * 3 + SEED) % _M
 
 
@@ -81,26 +83,26 @@ def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of docs (doc_id, source, text).
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own; a null doc_id is
-    allowed.  Repeated rows are counted and taken apart.  An empty table gives an empty result.
+    allowed.  Repeated rows are counted and taken apart; a long text is cut by blocks like any other; more columns are
+    ignored.  A source's words come within one of its target.  An empty table gives an empty result.
     """
     sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(SPACES)), F.lit(0)).cast("long").alias("size")))
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    by_source = by_source.withColumns({"all": F.lit(0), "seats": F.expr(f"total * {SHARE_HALVES} div {2 * BLOCK}"), "shards": F.greatest(F.lit(1), F.expr(f"source_size div {SHARD}"))})
-    by_source = settle(sainte_lague(by_source, ["all"], [F.col("source").asc_nulls_last()], "target", "seats").select("source", "source_size", "target", "shards", F.col("won").alias("seats")))
+    by_source = by_source.withColumns({"all": F.lit(0), "seats": F.expr(f"total * {SHARE_HALVES} div 2"), "shards": F.greatest(F.lit(1), F.expr(f"source_size div {SHARD}"))})
+    by_source = settle(sainte_lague(by_source, ["all"], [F.col("source").asc_nulls_last()], "target", "seats").select("source", "source_size", "target", "shards", F.least("won", F.col("source_size") * LIMIT).alias("seats")))
     s = by_source.withColumnRenamed("source", "_source")
-    placed = sized.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("h", _hash("doc_id"))
+    placed = sized.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("h", _hash("doc_id", "size"))
     placed = placed.withColumn("shard", F.expr(f"h * shards div {_M}")).withColumn("h", F.expr(f"h * 16807 % {_M}"))
     by_shard = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
-    by_shard = sainte_lague(by_shard, ["source"], [F.col("shard")], "shard_size", "seats").withColumn("n", F.greatest(F.lit(1), F.expr(f"(shard_size + {BLOCK - 1}) div {BLOCK}")))
-    by_shard = settle(by_shard.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "n", F.least("won", F.col("n") * LIMIT).alias("won")))
+    by_shard = sainte_lague(by_shard, ["source"], [F.col("shard")], "shard_size", "seats").withColumn("won", F.least("won", F.col("shard_size") * LIMIT))
+    by_shard = settle(by_shard.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), F.expr(f"shard_size div {BLOCK}").alias("n"), F.expr("if(shard_size = 0, 0L, won div shard_size)").alias("rounds"), F.expr("if(shard_size = 0, 0L, won % shard_size)").alias("rest")))
     along = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("end", F.sum("size").over(along))
     placed = placed.join(by_shard, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
-    rest = (
-        f"aggregate(sequence((end - size) div {BLOCK}, (end - 1) div {BLOCK}), 0L, (sum, b) -> sum + "
-        f"if(({_A} % n * b + {SEED}) % n < won % n, least(end, (b + 1) * {BLOCK}) - greatest(end - size, b * {BLOCK}), 0L))"
-    )
-    taken = F.expr(f"if(size = 0, 0L, size * (won div n) + if(won % n = 0, 0L, {rest}))")
+    # Of block b the first words, as many as the rest leaves after the blocks that come before it in the permutation.
+    of_block = f"least({BLOCK}L, greatest(0L, rest - {BLOCK} * if(b < n, ({_A} % n * b + {SEED}) % n, n)))"
+    more = f"aggregate(sequence((end - size) div {BLOCK}, (end - 1) div {BLOCK}), 0L, (sum, b) -> sum + greatest(0L, least(end, b * {BLOCK} + {of_block}) - greatest(end - size, b * {BLOCK})))"
+    taken = F.expr(f"if(size = 0, 0L, size * rounds + if(rest = 0, 0L, {more}))")
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
@@ -116,13 +118,13 @@ fullness as (select *, (source_size * 4 * (ws - w0) < w * (total * 3 - s0 * 4)):
 filled as (select *, min(f) over (order by level, no) as ful from fullness),
 sums as (select *, sum(source_size * ful) over () as s1, sum(w * ful) over () as w1 from filled),
 aim as (select source, source_size, total::bigint as total, case when ful = 1 then (source_size * 2)::double else (w * (total * 3 - s1 * 4))::double / nullif((ws - w1) * 2, 0)::double end as target from sums),
-seat0 as (select *, total * 3 // {2 * BLOCK} as seats, greatest(1, source_size // {SHARD}) as shards, sum(target) over () as v, count(*) over () as m, row_number() over (order by source nulls last) as no from aim),
+seat0 as (select *, total * 3 // 2 as seats, greatest(1, source_size // {SHARD}) as shards, sum(target) over () as v, count(*) over () as m, row_number() over (order by source nulls last) as no from aim),
 seat1 as (select *, case when target > 0 then greatest(0, floor(target * (seats - m / 2 - 1) / v + 0.5) - 1) else 0 end::bigint as base from seat0),
 seat2 as (select *, seats - sum(base) over () as open from seat1),
 offer as (select no, open, target / (k * 2 + 1) as quotient, k from (select *, unnest(range(base, greatest(base, (floor(target * (seats + m / 2 + 1) / v + 0.5) + 1)::bigint) + 1)) as k from seat2 where target > 0)),
 won as (select no, count(*) as more from (select *, row_number() over (order by quotient desc, no, k) as rank from offer) where rank <= open group by no),
-sources as (select source, source_size, target, shards, base + coalesce(more, 0) as seats from seat2 left join won using (no)),
-h0 as (select d.*, s.source_size, s.target, s.shards, s.seats, ((coalesce(doc_id, -1) % {_M} + {_M}) % {_M}) * 48271 % {_M} as h from sized d join sources s on d.source is not distinct from s.source),
+sources as (select source, source_size, target, shards, least(base + coalesce(more, 0), source_size * {LIMIT}) as seats from seat2 left join won using (no)),
+h0 as (select d.*, s.source_size, s.target, s.shards, s.seats, (((coalesce(doc_id, -1) % {_M} + {_M}) % {_M}) * 48271 + size % {_M} * 69621) % {_M} as h from sized d join sources s on d.source is not distinct from s.source),
 h1 as (select *, (h * h + h * 3 + {SEED}) % {_M} as g from h0),
 placed as (select *, g * shards // {_M} as shard, g * 16807 % {_M} as o from h1),
 sh0 as (select source, shard, sum(size)::bigint as shard_size, any_value(seats) as seats from placed group by source, shard),
@@ -131,9 +133,9 @@ sh2 as (select *, case when shard_size > 0 then greatest(0, floor(shard_size * (
 sh3 as (select *, seats - sum(base) over (partition by source) as open from sh2),
 shoffer as (select source, no, open, shard_size / (k * 2 + 1) as quotient, k from (select *, unnest(range(base, greatest(base, (floor(shard_size * (seats + m / 2 + 1) / v + 0.5) + 1)::bigint) + 1)) as k from sh3 where shard_size > 0)),
 shwon as (select source, no, count(*) as more from (select *, row_number() over (partition by source order by quotient desc, no, k) as rank from shoffer) where rank <= open group by source, no),
-shard as (select t.source, t.shard, greatest(1, (shard_size + {BLOCK - 1}) // {BLOCK}) as n, base + coalesce(more, 0) as won0 from sh3 t left join shwon x on t.source is not distinct from x.source and t.no = x.no),
+shard as (select t.source, t.shard, shard_size // {BLOCK} as n, shard_size, least(base + coalesce(more, 0), shard_size * {LIMIT})::bigint as won from sh3 t left join shwon x on t.source is not distinct from x.source and t.no = x.no),
 lined as (select p.*, sum(size) over (partition by source, shard order by o, doc_id nulls first, size rows between unbounded preceding and current row)::bigint as e from placed p),
-quota as (select l.*, n, least(won0, n * {LIMIT})::bigint as won from lined l join shard s on l.source is not distinct from s.source and l.shard = s.shard),
-mixed as (select doc_id, source, size, source_size, target, (case when size = 0 then 0 else size * (won // n) + case when won % n = 0 then 0 else
-  list_sum(list_transform(range((e - size) // {BLOCK}, (e - 1) // {BLOCK} + 1), lambda b: case when ({_A} % n * b + {SEED}) % n < won % n then least(e, (b + 1) * {BLOCK}) - greatest(e - size, b * {BLOCK}) else 0 end)) end end)::bigint as taken from quota)
+quota as (select l.*, n, case when shard_size = 0 then 0 else won // shard_size end as rounds, case when shard_size = 0 then 0 else won % shard_size end as rest from lined l join shard s on l.source is not distinct from s.source and l.shard = s.shard),
+mixed as (select doc_id, source, size, source_size, target, (case when size = 0 then 0 else size * rounds + case when rest = 0 then 0 else
+  list_sum(list_transform(range((e - size) // {BLOCK}, (e - 1) // {BLOCK} + 1), lambda b: greatest(0, least(e, b * {BLOCK} + least({BLOCK}, greatest(0, rest - {BLOCK} * case when b < n then ({_A} % n * b + {SEED}) % n else n end))) - greatest(e - size, b * {BLOCK})))) end end)::bigint as taken from quota)
 """
