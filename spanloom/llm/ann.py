@@ -21,13 +21,14 @@ from spanloom.llm.common import settle
 
 #: Vectors that the partitions and the classifier are fitted on, at most.
 FIT_ROWS = 12_000
-#: Vectors a partition, about; and partitions, at most.
-PER_PART, MOST_PARTS = 1500, 256
+#: Vectors a partition, about; two partitions at least from FEW vectors on.  A partition is learned from SEEN vectors of
+#: the fit at least, so a table has FIT_ROWS / SEEN of them at most; larger partitions are searched in blocks.
+PER_PART, FEW, SEEN = 1500, 300, 20
 NEIGHBOURS = 10
 #: Share of the sample's true neighbours that routing must reach on the sample; the rest up to 1 is room for new rows.
 RECALL = 0.94
-#: Vectors of one block of a partition.
-BLOCK = 4096
+#: Vectors of one block of a partition, and queries that one task asks of it.
+BLOCK, ASKED = 4096, 4096
 TOP = 20
 
 
@@ -44,8 +45,18 @@ class Router:
 
 
 def _logits(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
-    return unit @ weights[:-1] + weights[-1]
+    return _unit(vectors) @ weights[:-1] + weights[-1]
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """All vectors divided by the largest component, so that single floats hold them; products keep their order."""
+    return (vectors / max(np.abs(vectors).max(initial=0.0), 1e-300)).astype(np.float32)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by its length; the largest component goes first, so that no square overflows."""
+    small = vectors / np.maximum(np.abs(vectors).max(axis=1, keepdims=True, initial=0.0), 1e-300)
+    return (small / np.maximum(np.linalg.norm(small, axis=1, keepdims=True), 1e-30)).astype(np.float32)
 
 
 def neighbour_graph(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -77,7 +88,7 @@ def balanced_partition(vectors: np.ndarray, graph: np.ndarray, parts: int, seed:
     """A partition of the graph's vertices into parts of at most 1.1 times the mean size."""
     n = len(vectors)
     capacity = -(-n * 11 // (10 * parts))
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+    unit = _unit(vectors)
     centres = unit[np.random.default_rng(seed).choice(n, parts, replace=False)]
     for _ in range(8):
         part = _balanced(unit @ centres.T, capacity)
@@ -97,7 +108,7 @@ def fit(vectors: np.ndarray, parts: int, queries: int = 400) -> Router:
         return Router(np.zeros((vectors.shape[1] + 1 if vectors.ndim == 2 else 1, 1), np.float32), 1)
     graph = neighbour_graph(vectors, NEIGHBOURS)
     part = balanced_partition(vectors, graph, parts)
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+    unit = _unit(vectors)
     x = np.concatenate((unit, np.ones((len(unit), 1), np.float32)), axis=1)
     w = np.zeros((x.shape[1], parts), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -145,7 +156,7 @@ def _searched(there: pa.Table, asked: pa.Table) -> pa.Table:
             score = np.zeros(ids.size)
             for k, x in enumerate(vector):
                 score += columns[k] * x
-            score[ids == q] = -np.inf
+            score[(ids == q) | np.isnan(score)] = -np.inf
             least = np.partition(score, -TOP)[-TOP] if score.size > TOP else -np.inf
             spots = np.flatnonzero((score >= least) & (score > -np.inf))
             spots = spots[np.lexsort((ids[spots], -score[spots]))[:TOP]]
@@ -161,27 +172,32 @@ def nearest(embeddings: DataFrame, every: int = 20, fit_rows: int = FIT_ROWS) ->
     but its own, by largest inner product; ties to the smaller vec_id.
 
     Rows without vec_id and vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-    components take no part.  Rows that repeat a vec_id count once (the smallest vector).  An empty table gives an
-    empty result.
+    components take no part.  Rows that repeat a vec_id count once (the smallest vector).  Products are of double
+    precision whatever the vectors' type; one that overflows is infinite, one that is not a number is left out.  More
+    columns are ignored.  An empty table gives an empty result.
     """
     usable = embeddings.where("vec_id is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)")
-    usable = usable.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<float>")).alias("embedding"))
+    usable = usable.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
     size = usable.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "vec_id bigint, embedding array<float>, parts array<int>"
+    schema = "vec_id bigint, embedding array<double>, parts array<int>"
     if size is None:
         return embeddings.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     usable = settle(usable.where(F.size("embedding") == size.d))
     n = size["count"]
     # Equal vectors teach nothing twice.
     sample = usable if n <= fit_rows else usable.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-    vectors = np.unique(_matrix(sample.select("embedding").distinct().toArrow()["embedding"].combine_chunks()), axis=0)
-    parts = min(MOST_PARTS, max(1, 1 << max(0, round(np.log2(n / PER_PART)))), max(1, len(vectors) // 20))
+    vectors = _scaled(np.unique(_matrix(sample.select("embedding").distinct().toArrow()["embedding"].combine_chunks()), axis=0))
+    parts = min(max(2 if n >= FEW else 1, round(n / PER_PART)), max(1, len(vectors) // SEEN))
     router = fit(vectors, parts)
     held = usable.mapInArrow(_routed(router, 1), schema).select("vec_id", "embedding", F.col("parts")[0].alias("part"))
-    blocks = held.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    held = held.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     asked = usable.where(F.col("vec_id") % every == 0).mapInArrow(_routed(router, router.probes), schema).select("vec_id", "embedding", F.explode("parts").alias("part"))
-    asked = asked.join(F.broadcast(blocks), "part").select("vec_id", "embedding", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    found = held.select("part", "block", "vec_id", "embedding").groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(_searched, "query_id bigint, vec_id bigint, score double")
+    # Tiles of a block of a partition's vectors and a share of the queries that visit it; one row a partition, so broadcast.
+    blocks = held.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    shares = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("shares"))
+    tiles = F.broadcast(settle(blocks.join(shares, "part")))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = held.join(tiles, "part").select("vec_id", "embedding", "part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), every_one("shares").alias("share"))
+    asked = asked.join(tiles, "part").select("vec_id", "embedding", "part", F.pmod(F.xxhash64("vec_id"), F.col("shares")).alias("share"), every_one("blocks").alias("block"))
+    found = held.groupBy("part", "block", "share").cogroup(asked.groupBy("part", "block", "share")).applyInArrow(_searched, "query_id bigint, vec_id bigint, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")

@@ -151,11 +151,35 @@ def test_mixing(spark, docs):
     for r in got:
         taken[r.source] += r.taken
         assert 0 <= r.taken <= 2 * r.size and r.source_size == size[r.source] and math.isclose(r.target, target[r.source])
-    assert len(got) == len(corpus()) and all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK for s in size)
+    assert len(got) == len(corpus()) and all(abs(taken[s] - target[s]) <= 1 for s in size)
     assert rows_of(mixing.mix(docs)) == sorted((tuple(float(f"{x:.9g}") if isinstance(x, float) else x for x in (r.doc_id, r.size, r.source, r.source_size, r.taken, r.target)) for r in got), key=str)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("sources", "words"), [(40, 20), (5, 6), (3, 1)])
+def test_small_sources_have_their_share(spark, monkeypatch, sources, words):
+    rows = [(k, "w " * words, f"s{k:02}") for k in range(sources)] + [(None, "x y", "s00")] * 4 + [(0, None, "s01"), (7, "a b c", "s02")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(got) == len(rows) and all(abs(taken[s] - t) <= 1 for s, t in target.items())
+
+
+def test_mixing_of_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 500)
+    r = random.Random(9)
+    rows = [(d if d % 3 else None, "w " * r.choice((0, 1, 7, 40, 900)), "abc"[d % 7 % 3]) for d in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    taken, target = Counter(), {x.source: x.target for x in got}
+    for x in got:
+        taken[x.source] += x.taken
+    # Each shard's quota is whole, and a source's quotas add up to its seats.
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items()) and all(0 <= x.taken <= 2 * x.size for x in got)
+
+
 def test_sainte_lague(spark):
     votes = [("x", v) for v in (53, 24, 23, 0, 7)] + [("y", v) for v in (1, 1, 1)]
     df = spark.createDataFrame([(g, k, v, {"x": 17, "y": 2}[g]) for k, (g, v) in enumerate(votes)], "g string, k int, v int, seats int")
@@ -322,6 +346,13 @@ def test_ann(spark, monkeypatch):
     assert ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_ann_doubles_and_few_rows(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.25, 0.0]), (2, [1.25000004, 0.0]), (3, [1e200, 1.0]), (4, [-1e200, 0.0]), (20, [0.0, 2.0]), (20, [0.0, 3.0])]
+    got = sorted(tuple(r) for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("part", F.lit("x"))).select("query_id", "rank", "vec_id", "score").collect())
+    assert got[:5] == [(0, 1, 3, 1e200), (0, 2, 2, 1.25000004), (0, 3, 1, 1.25), (0, 4, 20, 0.0), (0, 5, 4, -1e200)]
+    assert [r[2] for r in got[5:]] == [3, 0, 1, 2, 4] and got[5][3] == 2.0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):
     columns, expected = oracle_rows(queries.ORACLE_SQL[name])
