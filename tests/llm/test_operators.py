@@ -310,6 +310,35 @@ def test_html(spark):
     assert rows[100].text == rows[101].text == "" and rows[102].text == "alone"
 
 
+def test_html_names():
+    """Only whole names say what an element is, and none drops an article or what holds one."""
+    texts = lambda h: [t for _, t in html_extract.blocks(h)]
+    assert texts('<article class="post share-enabled"><p>a</p></article>') == ["a"]
+    assert texts('<main class="has-sidebar"><p>a</p></main>') == ["a"]
+    assert texts('<div class="layout-sidebar-right"><article>a</article></div>') == ["a"]
+    assert texts('<div class="sidebar menu">x<main>a</main>y</div>z') == ["a", "z"]
+    assert texts('<p>so <span class="ad-free">far</span> so good</p>') == ["so far so good"]
+    assert texts('<div id="comments"><article class="comment">me too</article></div><div class="site-footer">x</div>a') == ["a"]
+    assert texts("<div>" * 3000 + "deep" + "</div>" * 3000) == ["deep"] and texts("<p>" + "word " * 100_000) == [("word " * 100_000).strip()]
+
+
+def test_html_runs_inside_blocks(spark):
+    """Where structure says nothing, runs on many pages of the host go, also from the middle of a block."""
+    r = random.Random(3)
+    words = [f"t{k}" for k in range(5000)]
+    note, menu = " ".join(r.choices(words, k=14)), " ".join(r.choices(words, k=9))
+    pages, want = [], {}
+    for k in range(60):
+        a, b = (" ".join(r.choices(words, k=40)) for _ in range(2))
+        pages.append((k, f"https://h.org/{k}", f"<div>{menu}</div><div>{a} {note} {b}</div>"))
+        want[k] = f"{a} {b}"
+    pages += [(100 + k, "https://copies.org", f"<div>{want[0]}</div>") for k in range(50)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    for chars in (6_000_000, 20_000):
+        got = {x.page_id: x.text for x in html_extract.extract(df, chars).collect()}
+        assert all(got[k] == t for k, t in want.items()) and all(got[100 + k] == want[0] for k in range(50))
+
+
 def test_coverage_is_brute_force():
     r = np.random.default_rng(8)
     words, page = r.integers(0, 3, 400).astype(np.uint64), np.sort(r.integers(0, 12, 400))
