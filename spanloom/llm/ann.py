@@ -21,9 +21,10 @@ from spanloom.llm.common import settle
 
 #: Vectors that the partitions and the classifier are fitted on, at most.
 FIT_ROWS = 12_000
-#: Vectors a partition, about; two partitions at least from FEW vectors on.  A partition is learned from SEEN vectors of
-#: the fit at least, so a table has FIT_ROWS / SEEN of them at most; larger partitions are searched in blocks.
-PER_PART, FEW, SEEN = 1500, 300, 20
+#: Partitions are the root of the number of vectors by ROOT, two at least from FEW vectors on: a query then meets as many
+#: partitions as each holds vectors, up to a factor.  A partition is learned from SEEN vectors of the fit at least, so a
+#: table has FIT_ROWS / SEEN of them at most; larger partitions are searched in blocks.
+ROOT, FEW, SEEN = 14, 300, 20
 NEIGHBOURS = 10
 #: Share of the sample's true neighbours that routing must reach on the sample; the rest up to 1 is room for new rows.
 RECALL = 0.94
@@ -187,7 +188,7 @@ def nearest(embeddings: DataFrame, every: int = 20, fit_rows: int = FIT_ROWS) ->
     # Equal vectors teach nothing twice.
     sample = usable if n <= fit_rows else usable.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
     vectors = _scaled(np.unique(_matrix(sample.select("embedding").distinct().toArrow()["embedding"].combine_chunks()), axis=0))
-    parts = min(max(2 if n >= FEW else 1, round(n / PER_PART)), max(1, len(vectors) // SEEN))
+    parts = min(max(2 if n >= FEW else 1, round(n**0.5 / ROOT)), max(1, len(vectors) // SEEN))
     router = fit(vectors, parts)
     held = usable.mapInArrow(_routed(router, 1), schema).select("vec_id", "embedding", F.col("parts")[0].alias("part"))
     asked = usable.where(F.col("vec_id") % every == 0).mapInArrow(_routed(router, router.probes), schema).select("vec_id", "embedding", F.explode("parts").alias("part"))

@@ -355,7 +355,7 @@ def test_coverage_is_brute_force():
 
 
 def test_ann(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PER_PART", 150)
+    monkeypatch.setattr(ann, "ROOT", 5)
     monkeypatch.setattr(ann, "BLOCK", 64)
     r = np.random.default_rng(5)
     centres = r.normal(size=(12, 16))
