@@ -11,29 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: A whole string, an opening or closing brace, or the begin of a string that never ends.
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[{}"]', re.S)
+
+
 def balanced_object(text: str | None) -> str | None:
-    """The first balanced {...} of a reply that parses to an object, braces in strings apart; None if there is none."""
-    text = re.sub(r"<think>.*?</think>", "", text or "", flags=re.S)
-    start = text.find("{")
-    while start >= 0:
-        depth, quoted, escaped = 0, False, False
-        for k in range(start, len(text)):
-            c = text[k]
-            if quoted:
-                escaped, quoted = (False, True) if escaped else (c == "\\", c != '"')
-            elif c == '"':
-                quoted = True
-            elif c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    try:
-                        json.loads(text[start : k + 1])
-                        return text[start : k + 1]
-                    except ValueError:
-                        break
-        start = text.find("{", start + 1)
+    """The first balanced {...} of a reply that parses to an object, braces in strings apart; None if there is none.
+
+    One pass: an outermost object that doesn't parse is left behind as a whole.  Closing braces that close nothing are
+    passed over.
+    """
+    text = re.sub(r"<think>.*?</think>", " ", text or "", flags=re.S)
+    opened: list[int] = []
+    for mark in _MARK.finditer(text):
+        if mark[0] == "{":
+            opened.append(mark.start())
+        elif mark[0] == '"':
+            return None
+        elif mark[0] == "}" and opened:
+            begin = opened.pop()
+            if not opened:
+                try:
+                    json.loads(text[begin : mark.end()])
+                except ValueError:
+                    continue
+                return text[begin : mark.end()]
     return None
 
 

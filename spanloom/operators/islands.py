@@ -20,7 +20,8 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, gap: int, orde
 def merge_spans(spans: DataFrame, keys: list[str] | None = None, gap: int = C.MERGE_GAP) -> DataFrame:
     """Spans (start_index, end_index, kind, confidence, evidence, end_evidence, ord) merged across at most ``gap``.
 
-    Confidence is the least; kind and end_evidence are the first span's, evidence the first that isn't empty.
+    Confidence is the least; kind and end_evidence (and dialogue_suspect and evidence_straddles, if there) are the first
+    span's, evidence the first that isn't empty.
     """
     keys = keys or ["episode"]
     place = F.struct("start_index", "end_index", "ord")
@@ -28,6 +29,7 @@ def merge_spans(spans: DataFrame, keys: list[str] | None = None, gap: int = C.ME
     return marked.groupBy(*keys, "island").agg(
         F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.min("confidence").alias("confidence"), F.min_by("kind", place).alias("kind"),
         F.min_by("evidence", F.when(F.col("evidence") != "", place)).alias("evidence"), F.min_by("end_evidence", place).alias("end_evidence"), F.min("ord").alias("ord"),
+        *[F.min_by(c, place).alias(c) for c in ("evidence_straddles", "dialogue_suspect") if c in spans.columns],
     ).drop("island")
 
 

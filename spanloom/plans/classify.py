@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spanloom import constants as C
 from spanloom.operators.chunking import plan_chunks, prompts, with_context
 from spanloom.operators.gates import episode_gates, flag_strings, flags, span_stats
-from spanloom.operators.ladder import run_pass
+from spanloom.operators.ladder import capped, run_pass
 from spanloom.operators.propose import RuleProposer
 from spanloom.operators.refine import refine_starts
 from spanloom.store import settle
@@ -75,7 +75,7 @@ def classify(segments: DataFrame, proposer: object, max_tokens: int = 6000, cont
     text = flag_strings(flagged)
     stats = span_stats(flagged, spans)
     episodes = ok.join(stats, "episode").join(text, "episode").withColumn("flags", F.when(F.col("status") == "ok", F.col("flags")).otherwise(""))
-    return Result(episodes, spans, rejected, log)
+    return Result(episodes, spans, capped(rejected), log)
 
 
 def dry_run(segments: DataFrame, max_tokens: int = 6000, context: int = C.CONTEXT_SEGMENTS, price_in: float = 3.0, price_out: float = 15.0, reply_tokens: int = 400) -> DataFrame:

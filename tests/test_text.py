@@ -56,6 +56,7 @@ def test_replay_key(spark):
 def test_model_json(spark):
     assert model_json.balanced_object('x {bad} {"a": "}{", "b": {"c": 1}} y') == '{"a": "}{", "b": {"c": 1}}'
     assert model_json.balanced_object("<think>{\"no\":1}</think>{\"a\":1}") == '{"a":1}'
+    assert model_json.balanced_object('{oops {"a":1}} {"b":2}') == '{"b":2}' and model_json.balanced_object("{" * 50_000) is None
     assert model_json.balanced_object(None) is None and model_json.balanced_object("{ open") is None
     got = [r[0] for r in spark.createDataFrame([('{"a":1}',), ("t {\"b\":2}",), (None,)], "t string").select(model_json.extract_object(F.col("t"))).collect()]
     assert got == ['{"a":1}', '{"b":2}', None]
