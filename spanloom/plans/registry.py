@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import interval_queries, score_queries, sink_queries, text_queries
+from spanloom.plans import format_queries, interval_queries, score_queries, sink_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (interval_queries, score_queries, text_queries, sink_queries):
+for _module in (interval_queries, score_queries, text_queries, sink_queries, format_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
 

@@ -62,16 +62,21 @@ gaps as (select episode, prev as s, s as e from mk where s > prev + 500 union al
 parts as (select episode, s, e, 'Part ' || row_number() over (partition by episode order by s) as title, null as id from gaps),
 a0 as (select episode, s, e, title, id from parts union all select episode, s, e, {_TITLE}, id from rec),
 a1 as (select * from a0 union all select m.episode, 0, coalesce(f, m.duration_ms), 'Start', null from media m left join (select episode, min(s) as f from a0 group by episode) x on x.episode = m.episode where f is null or f > 0),
-a2 as (select *, count(*) over (partition by episode) as n, row_number() over (partition by episode order by s, (id is null) desc) as no from a1)"""
+a2 as (select *, count(*) over (partition by episode) as n, row_number() over (partition by episode order by s, (id is null) desc) as no from a1),
+a3 as (select *, n < 3 and no = n as halved, e - (e - s) // 2 as h, count(*) filter (starts_with(title, 'Part ')) over (partition by episode) as np from a2),
+a4 as (select episode, s, case when halved then h else e end as e, title, id from a3 union all
+  select episode, h, case n when 1 then e - (e - h) // 2 else e end, 'Part ' || (np + case n when 1 then 1 else 2 end), null from a3 where halved union all
+  select episode, e - (e - h) // 2, e, 'Part ' || (np + 2), null from a3 where halved and n = 1),
+ch as (select *, row_number() over (partition by episode order by s, (id is null) desc) as no from a4)"""
 
 
-@book.add(f"with {_CHAPTERS} select episode, no::int as no, s as start, e as \"end\", title, id from a2 where n >= 3")
+@book.add(f"with {_CHAPTERS} select episode, no::int as no, s as start, e as \"end\", title, id from ch")
 def chapters(spark: SparkSession, d: str) -> DataFrame:
     """Chapter lists of all episodes, short ones halved."""
     return exporters.chapter_list(*V.record(spark, d)).select("episode", "no", "start", "end", "title", "id")
 
 
-@book.add(f"with {_CHAPTERS} select episode, ';FFMETADATA1' || chr(10) || string_agg(chr(10) || '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || s || chr(10) || 'END=' || e || chr(10) || 'title=' || title || chr(10), '' order by no) as body from a2 where episode in (select episode from rec group by episode having count(*) >= 3) group by episode")
+@book.add(f"with {_CHAPTERS} select episode, ';FFMETADATA1' || chr(10) || string_agg(chr(10) || '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || s || chr(10) || 'END=' || e || chr(10) || 'title=' || title || chr(10), '' order by no) as body from ch group by episode")
 def export_ffmeta(spark: SparkSession, d: str) -> DataFrame:
     return exporters.ffmeta(*V.record(spark, d))
 

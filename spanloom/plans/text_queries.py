@@ -135,7 +135,7 @@ def quote_match(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("item_id", "doc_id", text.quote_tier("quote", "hay").alias("tier"))
 
 
-@book.add(f"""with {V.LINES}, l as (select *, lead(text) over (partition by episode order by idx) as t1 from lines), q as (select *, array_to_string(list_slice(string_split(text || ' ' || t1, ' '), greatest(1, len(string_split(text, ' ')) - 1), greatest(1, len(string_split(text, ' ')) - 1) + 4), ' ') as quote from l where t1 is not null and episode % 10 = 0)
+@book.add(f"""with {V.LINES}, l as (select *, lead(text) over (partition by episode order by idx) as t1 from lines), q as (select *, array_to_string(list_slice(string_split(text || ' ' || t1, ' '), greatest(1, len(string_split(text, ' ')) - 1), greatest(1, len(string_split(text, ' ')) - 1) + 4), ' ') as quote from l where t1 is not null)
 select episode, idx, contains({_norm_sql('text')}, {_norm_sql('quote')}) as first, contains({_norm_sql("text || ' ' || t1")}, {_norm_sql('quote')}) as across from q where {_norm_sql('quote')} <> ''""")
 def quote_straddle(spark: SparkSession, d: str) -> DataFrame:
     t = V.lines(spark, d).withColumn("t1", F.lead("text").over(Window.partitionBy("episode").orderBy("idx"))).where("t1 is not null")
@@ -188,7 +188,7 @@ def copy_verdict(spark: SparkSession, d: str) -> DataFrame:
     return readers.compare_copies(rows)
 
 
-@book.add("select event_id, event_id % 4 <> 3 as found, case event_id % 4 when 0 then '{\"a\":' || user_id || '}' when 1 then '{\"s\": \"}\"}' when 2 then '{\"b\":{\"c\":[1]}}' end as obj from events where event_id % 10 < 4")
+@book.add("select event_id, event_id % 4 <> 3 as found, case event_id % 4 when 0 then '{\"a\":' || user_id || '}' when 1 then '{\"s\": \"}\"}' when 2 then '{\"b\":{\"c\":[1]}}' end as obj from events")
 def json_extract(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 4
     reply = F.when(k == 0, F.concat(F.lit('{"a":'), F.col("user_id").cast("string"), F.lit("}"))).when(k == 1, F.lit('<think>{no}</think>here {oops} it is: {"s": "}"} end')).when(k == 2, F.lit('text {"b":{"c":[1]}} more')).otherwise(F.lit("no object { at all"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,3 +60,13 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def write_new(df: DataFrame, path: str, force: bool = False) -> None:
     """Parquet at ``path``; refuses to replace what is there unless forced."""
     df.write.mode("overwrite" if force else "errorifexists").parquet(path)
+
+
+def table_line(*columns: str) -> Column:
+    """One line of a Markdown table."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit(" |"))
+
+
+def analysis(results: DataFrame, ids: Column | str = "span_ids") -> DataFrame:
+    """The local tier of results (one row an episode): everything they hold, the profile and the record's span ids."""
+    return results.withColumns({"profile": F.lit(C.PROFILE), "record_span_ids": F.col(ids) if isinstance(ids, str) else ids})
