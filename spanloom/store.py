@@ -13,9 +13,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, else the context's checkpoint folder; one is made only if neither is set."""
+    """The folder named in ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a local session gets a folder of this machine; a cluster, whose executors wouldn't see it, an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spanloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named
