@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import os
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-#: Upper bound of the bytes of one Arrow batch that goes to a Python worker.  A single longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+from spanloom.store import settle, shared_dir
 
-_written: list[tuple[SparkSession, str]] = []
+__all__ = ["BATCH_BYTES", "settle", "shared_dir", "ship", "table"]
 
+#: Upper bound of the bytes of one Arrow batch that goes to a Python worker.  A single longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 _shipped: set[str] = set()
 
@@ -37,36 +36,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark.sparkContext)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, else the context's checkpoint folder; one is made only if neither is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spanloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def _drop_written() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-atexit.register(_drop_written)
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and column pruning still works.
-
-    A lost executor then costs a reread, not a recomputation.  The files go when the driver's interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
