@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from spanloom.functions import model_json, spans, text, times
 from spanloom.operators import chunking
 from spanloom.operators.align import align
+from spanloom.operators.quotes import match_quotes
 from spanloom.plans import views as V
 from spanloom.plans.register import Book
 from spanloom.sinks import records
@@ -115,24 +116,12 @@ def quote_norm(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "documents").select("doc_id", text.normalize_quote("text").alias("text"))
 
 
-def _needles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Quotes of the benchmark (eight words) with the documents that share a rare word with them."""
-    quote = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 8), " ")
-    needles = V.read(spark, d, "benchmark").select("item_id", quote.alias("quote"))
-    docs = V.read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("hay"))
-    words = lambda t: F.array_distinct(F.filter(F.split(text.normalize_quote(t), " "), lambda w: F.length(w) >= 9))
-    pairs = needles.select("item_id", F.explode(words("quote")).alias("w")).join(docs.select("doc_id", F.explode(words("hay")).alias("w")), "w").select("item_id", "doc_id").distinct()
-    return pairs.join(needles, "item_id").join(docs, "doc_id"), needles
-
-
-@book.add(f"""with nd as (select item_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 8), ' ') as quote from benchmark),
-n as (select item_id, quote, {_norm_sql('quote')} as n from nd), h as (select doc_id, {_norm_sql('text')} as h from documents where lang = 'en'),
-nw as (select distinct item_id, w from (select item_id, unnest(string_split(n, ' ')) as w from n) where length(w) >= 9), hw as (select distinct doc_id, w from (select doc_id, unnest(string_split(h, ' ')) as w from h) where length(w) >= 9),
-p as (select distinct item_id, doc_id from nw join hw using (w)), s as (select p.*, n, h, {_spoken_sql('n')} as sn, {_spoken_sql('h')} as sh, string_split(n, ' ') as nt, string_split(h, ' ') as ht from p join n using (item_id) join h using (doc_id))
-select item_id, doc_id, case when n = '' then null when contains(h, n) then 'exact' when contains(replace(h, ' ', ''), replace(n, ' ', '')) then 'spaceless' when sn <> '' and contains(sh, sn) then 'spoken' when len(list_filter(nt, lambda w: list_contains(ht, w)))::double / len(nt) >= 0.7 then 'overlap' end as tier from s""")
+@book.add(f"""with q as (select item_id, {_norm_sql('text')} as n from benchmark), h as (select doc_id, {_norm_sql('text')} as h from documents),
+qf as (select item_id, n, replace(n, ' ', '') as tn, {_spoken_sql('n')} as sn, string_split(n, ' ') as nt from q where n <> ''), hf as (select doc_id, h, replace(h, ' ', '') as th, {_spoken_sql('h')} as sh, list_distinct(string_split(h, ' ')) as ht from h where h <> ''),
+p as (select item_id, doc_id, case when contains(h, n) then 'exact' when contains(th, tn) then 'spaceless' when sn <> '' and contains(sh, sn) then 'spoken' when len(list_filter(nt, lambda w: list_contains(ht, w)))::double / len(nt) >= 0.7 then 'overlap' end as tier from qf cross join hf)
+select item_id, doc_id, tier from p where tier is not null""")
 def quote_match(spark: SparkSession, d: str) -> DataFrame:
-    pairs, _ = _needles(spark, d)
-    return pairs.select("item_id", "doc_id", text.quote_tier("quote", "hay").alias("tier"))
+    return match_quotes(V.read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")), V.read(spark, d, "documents").select("doc_id", "text"))
 
 
 @book.add(f"""with {V.LINES}, l as (select *, lead(text) over (partition by episode order by idx) as t1 from lines), q as (select *, array_to_string(list_slice(string_split(text || ' ' || t1, ' '), greatest(1, len(string_split(text, ' ')) - 1), greatest(1, len(string_split(text, ' ')) - 1) + 4), ' ') as quote from l where t1 is not null)

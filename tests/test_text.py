@@ -70,3 +70,20 @@ def test_span_rules(spark):
 def test_id3(spark):
     head = bytearray(b"ID3\x04\x00\x00\x00\x00\x02\x01")
     assert one(spark, spans.id3_size(F.lit(bytes(head))), spans.id3_size(F.lit(b"\xff\xfb" + bytes(8)))) == [2 * 128 + 1 + 10, 0]
+
+
+def test_match_quotes_loses_no_tier(spark):
+    import random
+
+    from spanloom.functions.text import quote_tier
+    from spanloom.operators.quotes import match_quotes
+
+    r = random.Random(4)
+    words = ["the", "of", "red", "fox", "dot", "com", "blackbird", "black", "bird", "a", "b", "runs", "well-known", "é"]
+    texts = [" ".join(r.choices(words, k=r.randint(1, 25))) for _ in range(80)] + [None, "", "..."]
+    quotes = [" ".join(r.choices(words, k=r.randint(1, 6))) for _ in range(90)] + [None, "", "blackbird com"]
+    q = spark.createDataFrame(list(enumerate(quotes)), "item_id int, quote string")
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = q.crossJoin(t).select("item_id", "doc_id", quote_tier("quote", "text").alias("tier")).where("tier is not null")
+    got = sorted(tuple(x) for x in match_quotes(q, t).collect())
+    assert got == sorted(tuple(x) for x in want.collect()) and {x[2] for x in got} == {"exact", "spaceless", "spoken", "overlap"}
