@@ -4,7 +4,8 @@ A seed is a fixed mask over consecutive tokens that ignores some places; the has
 the same in two texts even if the ignored ones differ.  Seed hashes of the benchmark items are held sorted, those of
 the documents are looked up as they stream by; no document token is shuffled.  Each hit fixes a diagonal (document
 place minus item place), along which whole windows are compared token by token: an overlap needs WINDOW tokens (or the
-whole item, if shorter) of which PERCENT equal.
+whole item, if shorter) of which PERCENT equal.  Items of fewer than MIN_ITEM tokens have no place that could be ignored:
+their seed is the whole item, which must stand unchanged.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from spanloom.llm.textarrays import doc_words, mix64, utf8
 MASKS = ("1111", "10111", "11011", "11101", "100111")
 WINDOW = 12
 PERCENT = 75
-#: Items of fewer tokens are no evidence of anything and are not searched.
+#: Items of fewer tokens must stand unchanged.
 MIN_ITEM = 5
 #: Benchmark tokens that are held in memory at once; a larger benchmark takes several passes over the documents.
 BLOCK_TOKENS = 1_000_000
@@ -57,15 +58,16 @@ class Seeds:
     item: np.ndarray
     place: np.ndarray
     present: np.ndarray
+    masks: tuple[str, ...]
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None]) -> Seeds:
         raw, off = utf8(pa.array(texts, pa.large_string()))
         words = [w[at[i] : at[i + 1]] for a, b, w, at in doc_words(raw, off) for i in range(b - a)]
-        kept = [k for k, w in enumerate(words) if w.size >= MIN_ITEM and ids[k] is not None]
+        kept = [k for k, w in enumerate(words) if w.size and ids[k] is not None]
         found = []
         for n, k in enumerate(kept):
-            for mask in MASKS:
+            for mask in MASKS if words[k].size >= MIN_ITEM else ("1" * words[k].size,):
                 h = seed_hashes(words[k], mask)
                 found.append((h, np.full(h.size, n), np.arange(h.size)))
         h, item, place = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, t) for j, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
@@ -74,7 +76,7 @@ class Seeds:
         present[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         at = np.zeros(len(kept) + 1, np.int64)
         np.cumsum([words[k].size for k in kept], out=at[1:])
-        return cls(np.array([ids[k] for k in kept], np.int64), np.concatenate([words[k] for k in kept]) if kept else np.zeros(0, np.uint64), at, h[order], item[order], place[order], present)
+        return cls(np.array([ids[k] for k in kept], np.int64), np.concatenate([words[k] for k in kept]) if kept else np.zeros(0, np.uint64), at, h[order], item[order], place[order], present, tuple(dict.fromkeys([*MASKS, *sorted("1" * words[k].size for k in kept if words[k].size < MIN_ITEM)])))
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
@@ -86,7 +88,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
         return None
     same = doc[a:b] == item[a - shift : b - shift]
     total = np.concatenate(([0], np.cumsum(same)))
-    good = np.flatnonzero((total[size:] - total[:-size]) * 100 >= size * PERCENT)
+    good = np.flatnonzero((total[size:] - total[:-size]) * 100 >= size * (PERCENT if size >= MIN_ITEM else 100))
     if not good.size:
         return None
     inside = np.zeros(b - a + 1, np.int64)
@@ -102,7 +104,7 @@ def find(words: np.ndarray, at: np.ndarray, seeds: Seeds) -> list[tuple[int, int
     if not seeds.hashes.size:
         return []
     tried = set()
-    for mask in MASKS:
+    for mask in seeds.masks:
         h = seed_hashes(words, mask)
         spot = np.flatnonzero(seeds.present[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         lo = np.searchsorted(seeds.hashes, h[spot])
@@ -152,7 +154,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOC
     docs with an item, on its best diagonal.
 
     Documents without an overlap give no row; null and empty texts have none.  Repeated rows give repeated results.  An
-    empty benchmark or table gives an empty result.  Items of under MIN_ITEM tokens or without id are not searched.
+    empty benchmark or table gives an empty result.  Items without tokens or without id are not searched.  Texts of any
+    length are searched whole; a null doc_id stays null; more columns are ignored.
     """
     schema = "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, n_equal bigint"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -164,7 +167,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOC
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of docs without an overlap, with all their columns; rows pass in place, without a shuffle."""
+    """The rows of docs without an overlap, with all their columns; rows pass in place, without a shuffle.  Null and empty
+    texts have no overlap and stay."""
     for seeds in blocks(benchmark, block_tokens):
 
         def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:

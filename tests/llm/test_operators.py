@@ -93,7 +93,7 @@ def brute_overlap(doc, item):
     for shift in range(-len(item) + 1, len(doc)):
         same = [0 <= shift + k < len(doc) and doc[shift + k] == item[k] for k in range(len(item))]
         inside = [0 <= shift + k < len(doc) for k in range(len(item))]
-        if any(all(inside[k : k + size]) and 100 * sum(same[k : k + size]) >= 75 * size for k in range(len(item) - size + 1)):
+        if any(all(inside[k : k + size]) and 100 * sum(same[k : k + size]) >= (75 if size >= decontaminate.MIN_ITEM else 100) * size for k in range(len(item) - size + 1)):
             return True
     return False
 
@@ -101,7 +101,7 @@ def brute_overlap(doc, item):
 def test_decontamination(spark):
     r = random.Random(2)
     words = [f"b{k}" for k in range(3000)]
-    items = [" ".join(r.choices(words, k=n)) for n in (30, 12, 6, 40, 5)] + ["too short", None, ""]
+    items = [" ".join(r.choices(words, k=n)) for n in (30, 12, 6, 40, 5)] + ["too short", None, "", "four words in all"]
     rows = []
     for d in range(60):
         t = r.choices(words, k=50)
@@ -112,9 +112,9 @@ def test_decontamination(spark):
                     piece[k] = "changed"
             t[20:20] = piece
         rows.append((d, " ".join(t)))
-    rows += [(60, None), (61, ""), (62, items[0].upper()), (62, items[0].upper()), (63, "too short")]
+    rows += [(60, None), (61, ""), (62, items[0].upper()), (62, items[0].upper()), (63, "is too short"), (64, "too long short"), (65, "four words of all"), (66, "Four words in all."), (67, "x four words in all"), (None, items[1])]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
-    want = Counter((d, i) for d, t in rows for i, x in enumerate(items) if len(words_of(x)) >= 5 and brute_overlap(words_of(t), words_of(x)))
+    want = Counter((d, i) for d, t in rows for i, x in enumerate(items) if words_of(x) and brute_overlap(words_of(t), words_of(x)))
     for block in (1_000_000, 20):
         got = Counter((x.doc_id, x.item_id) for x in decontaminate.contaminated(frame(spark, rows), bench, block).collect())
         assert got == want and got[62, 0] == 2
