@@ -1,23 +1,25 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over consecutive tokens that ignores some places; the hash of the tokens at the other places is
-the same in two texts even if the ignored ones differ.  Seed hashes of the benchmark items are held sorted, those of
-the documents are looked up as they stream by; no document token is shuffled.  Each hit fixes a diagonal (document
-place minus item place), along which whole windows are compared token by token: an overlap needs WINDOW tokens (or the
-whole item, if shorter) of which PERCENT equal.  Items of fewer than MIN_ITEM tokens have no place that could be ignored:
-their seed is the whole item, which must stand unchanged.
+the same in two texts even if the ignored ones differ.  The seed hashes of the benchmark items and those of the documents
+are two tables that are joined by hash.  A bit table of the items' hashes, of bounded size, goes ahead of the join: only
+document seeds that it may hold are written, each with the few tokens around it that a window over it can reach.  Each
+joined pair fixes a diagonal (document place minus item place), and the windows over the seed are compared token by token:
+an overlap needs WINDOW tokens (or the whole item, if shorter) of which PERCENT equal.  The equal places of good windows
+are put together by diagonal.  Items of fewer than MIN_ITEM tokens have no place that could be ignored: their seed is the
+whole item, which must stand unchanged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import settle
 from spanloom.llm.textarrays import doc_words, mix64, utf8
 
 # The masks; 1 is compared, 0 ignored.  Whatever the places of the unequal tokens, every window of 5 to 12
@@ -27,12 +29,20 @@ WINDOW = 12
 PERCENT = 75
 #: Items of fewer tokens must stand unchanged.
 MIN_ITEM = 5
-#: Benchmark tokens that are held in memory at once; a larger benchmark takes several passes over the documents.
-BLOCK_TOKENS = 1_000_000
+SHORT = tuple("1" * k for k in range(1, MIN_ITEM))
+#: Tokens before a seed's first, and from it on, that a window over the seed can reach.
+BEFORE, AFTER = WINDOW - len(min(MASKS, key=len)), WINDOW
+NEAR = BEFORE + AFTER
+#: Most bits of the table that goes ahead of the join, as a power of two: 8 MB.  A benchmark that fills it lets more document
+#: seeds through to the join and changes no result.
+MOST_BITS = 26
+#: A hash that holds more than one in HOT_KEYS of the document seeds (and over HOT_ROWS of them) is split; so at most HOT_KEYS are.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000
+#: Seeds that leave a Python worker at once.
+SLICE = 1 << 14
 
 _rng = np.random.default_rng(4242)
 _PLACE = _rng.integers(0, 1 << 64, 16, dtype=np.uint64) | np.uint64(1)
-_BITS = 22
 
 
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -47,137 +57,131 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix64(h)
 
 
-@dataclass(frozen=True)
-class Seeds:
-    """The items' tokens end to end with their offsets, and the sorted seed hashes with the place each stands at."""
-
-    ids: np.ndarray
-    words: np.ndarray
-    at: np.ndarray
-    hashes: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    present: np.ndarray
-    masks: tuple[str, ...]
-
-    @classmethod
-    def of(cls, ids: list[int], texts: list[str | None]) -> Seeds:
-        raw, off = utf8(pa.array(texts, pa.large_string()))
-        words = [w[at[i] : at[i + 1]] for a, b, w, at in doc_words(raw, off) for i in range(b - a)]
-        kept = [k for k, w in enumerate(words) if w.size and ids[k] is not None]
-        found = []
-        for n, k in enumerate(kept):
-            for mask in MASKS if words[k].size >= MIN_ITEM else ("1" * words[k].size,):
-                h = seed_hashes(words[k], mask)
-                found.append((h, np.full(h.size, n), np.arange(h.size)))
-        h, item, place = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, t) for j, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
-        order = np.argsort(h, kind="stable")
-        present = np.zeros(1 << _BITS, bool)
-        present[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        at = np.zeros(len(kept) + 1, np.int64)
-        np.cumsum([words[k].size for k in kept], out=at[1:])
-        return cls(np.array([ids[k] for k in kept], np.int64), np.concatenate([words[k] for k in kept]) if kept else np.zeros(0, np.uint64), at, h[order], item[order], place[order], present, tuple(dict.fromkeys([*MASKS, *sorted("1" * words[k].size for k in kept if words[k].size < MIN_ITEM)])))
-
-
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-    """(first document token, tokens, equal tokens) of the overlap on a diagonal: from the first to the last token of
-    windows that reach the share.  None if no window does."""
-    a, b = max(0, shift), min(doc.size, shift + item.size)
-    size = min(WINDOW, item.size)
-    if b - a < size:
-        return None
-    same = doc[a:b] == item[a - shift : b - shift]
-    total = np.concatenate(([0], np.cumsum(same)))
-    good = np.flatnonzero((total[size:] - total[:-size]) * 100 >= size * (PERCENT if size >= MIN_ITEM else 100))
-    if not good.size:
-        return None
-    inside = np.zeros(b - a + 1, np.int64)
-    np.add.at(inside, good, 1)
-    np.add.at(inside, good + size, -1)
-    under = np.flatnonzero((np.cumsum(inside)[:-1] > 0) & same)
-    return int(a + under[0]), int(under[-1] - under[0] + 1), int(under.size)
-
-
-def find(words: np.ndarray, at: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, first token, tokens, equal tokens) for texts whose token hashes stand end to end; the best diagonal of each pair."""
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    if not seeds.hashes.size:
-        return []
-    tried = set()
-    for mask in seeds.masks:
-        h = seed_hashes(words, mask)
-        spot = np.flatnonzero(seeds.present[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        lo = np.searchsorted(seeds.hashes, h[spot])
-        hi = np.searchsorted(seeds.hashes, h[spot], "right")
-        hit = np.flatnonzero(hi > lo)
-        text = np.searchsorted(at, spot[hit], "right") - 1
-        for p, t, a, b in zip(spot[hit].tolist(), text.tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-            if p + len(mask) > at[t + 1]:
-                continue
-            for k in range(a, b):
-                n, shift = int(seeds.item[k]), p - int(at[t]) - int(seeds.place[k])
-                if (t, n, shift) in tried:
-                    continue
-                tried.add((t, n, shift))
-                got = overlap(words[at[t] : at[t + 1]], seeds.words[seeds.at[n] : seeds.at[n + 1]], shift)
-                if got and ((t, n) not in best or (-got[2], got[0]) < (-best[t, n][2], best[t, n][0])):
-                    best[t, n] = got
-    return [(t, n, *got) for (t, n), got in sorted(best.items())]
-
-
-def blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> list[Seeds]:
-    """The benchmark as Seeds of about block_tokens tokens each, read one row at a time."""
-    out, ids, texts, size = [], [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1] or "") // 4 + 1
-        if size >= block_tokens:
-            out.append(Seeds.of(ids, texts))
-            ids, texts, size = [], [], 0
-    return [*out, Seeds.of(ids, texts)] if ids else out
-
-
-def _hits(seeds: Seeds) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _seeds(keys: list[str], masks: tuple[str, ...], present: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Seeds of texts: those that the bit table may hold, or those that each text, as an item, is found by."""
+    shift = np.uint64(0 if present is None else 64 - (present.size * 64).bit_length() + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch["text"])
-            found = [(a + t, *rest) for a, _, words, at in doc_words(raw, off) for t, *rest in find(words, at, seeds)]
-            rows, items, *rest = (pa.array([f[k] for f in found], pa.int64()) for k in range(5))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(rows), pa.array(seeds.ids).take(items), *rest], ["doc_id", "item_id", "first_word", "n_words", "n_equal"])
+            for a, _, words, at in doc_words(raw, off):
+                sizes = np.diff(at)
+                padded = np.concatenate((np.zeros(BEFORE, np.uint64), words, np.zeros(AFTER, np.uint64)))
+                for mask in masks:
+                    h = seed_hashes(words, mask)
+                    if present is None:
+                        p = np.arange(h.size)
+                    else:
+                        slot = h >> shift
+                        p = np.flatnonzero((present[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+                    text = np.searchsorted(at, p, "right") - 1
+                    good = p + len(mask) <= at[text + 1]
+                    if present is None:
+                        good &= ((sizes[text] >= MIN_ITEM) & (mask in MASKS)) | ((sizes[text] == len(mask)) & (mask in SHORT))
+                    p, text = p[good], text[good]
+                    for k in range(0, p.size, SLICE):
+                        q, t = p[k : k + SLICE], text[k : k + SLICE]
+                        rows = pa.array(a + t, pa.int64())
+                        near = padded[q[:, None] + np.arange(NEAR)].view(np.int64).ravel()
+                        own = [h[q].view(np.int64), np.full(q.size, len(mask)), q - at[t], sizes[t]]
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, NEAR), pa.int32()), pa.array(near))
+                        yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in keys), *(pa.array(x, pa.int64()) for x in own), lists], [*keys, "h", "m", "place", "n", "near"])
+
+    return run
+
+
+def _verified(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The equal places in good windows around joined seeds, as bits of chunks of 32 places of the document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around = np.arange(-BEFORE, AFTER)
+        for batch in batches:
+            place, n, item_place, item_n = (batch[c].to_numpy() for c in ("place", "n", "item_place", "item_n"))
+            doc, item = (batch[c].flatten().to_numpy().reshape(-1, NEAR) for c in ("near", "item_near"))
+            first = -np.minimum(place, item_place)
+            last = np.minimum(n - place, item_n - item_place)
+            inside = (around >= first[:, None]) & (around < last[:, None])
+            same = (doc == item) & inside
+            total = np.zeros((same.shape[0], NEAR + 1), np.int64)
+            np.cumsum(same, axis=1, out=total[:, 1:])
+            marks = np.zeros_like(same)
+            size = np.minimum(item_n, WINDOW)
+            for w in np.unique(size).tolist():
+                rows = np.flatnonzero(size == w)
+                for s in range(NEAR - w + 1):
+                    good = (total[rows, s + w] - total[rows, s]) * 100 >= w * (PERCENT if w >= MIN_ITEM else 100)
+                    marks[rows[good & inside[rows, s] & inside[rows, s + w - 1]], s : s + w] = True
+            bits = (marks & same) @ (1 << np.arange(NEAR, dtype=np.int64)) << (place - BEFORE) % 32
+            for chunk, part in (((place - BEFORE) // 32, bits & 0xFFFFFFFF), ((place - BEFORE) // 32 + 1, bits >> 32)):
+                rows = np.flatnonzero(part)
+                own = [(place - item_place)[rows], chunk[rows], part[rows]]
+                rows = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in keys), *(pa.array(x, pa.int64()) for x in own)], [*keys, "shift", "chunk", "bits"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def _schema(keys: list[str], *more: str) -> str:
+    return ", ".join([*(f"{c} bigint" for c in keys), *more])
+
+
+def bit_table(hashes: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A bit for each value of the highest bits of a hash, set where the column h has one; 16 bits a hash, but never more than
+    2 ** most_bits in all, which bounds what comes to the driver and goes to each worker."""
+    bits = max(6, min(most_bits, (hashes.count() * 16).bit_length()))
+    slots = hashes.select(F.expr(f"shiftrightunsigned(h, {64 - bits})").alias("slot"))
+    words = slots.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    present = np.zeros(1 << (bits - 6), np.uint64)
+    present[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return present
+
+
+def _overlaps(docs: DataFrame, keys: list[str], benchmark: DataFrame, most_bits: int, hot_rows: int) -> DataFrame:
+    """keys, item_id, first_word, n_words, n_equal of the best diagonal of each text with each item; keys: longs that name a row
+    of docs."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").distinct().withColumn("item", F.xxhash64("text"))
+    rest = ("h bigint", "m bigint", "place bigint", "n bigint", "near array<bigint>")
+    seeds = settle(items.mapInArrow(_seeds(["item_id", "item"], tuple(dict.fromkeys(SHORT + MASKS))), _schema(["item_id", "item"], *rest)))
+    short = sorted("1" * r.m for r in seeds.where(F.col("n") < MIN_ITEM).select("m").distinct().collect())
+    found = settle(docs.mapInArrow(_seeds(keys, tuple(dict.fromkeys([*short, *MASKS])), bit_table(seeds, most_bits)), _schema(keys, *rest)).drop("m"))
+    # Hot hashes: their document seeds are dealt over several keys, their item seeds repeated for each.
+    size = max(found.count() // HOT_KEYS, hot_rows)
+    hot = F.broadcast(settle(found.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts")).where("parts > 1")))
+    found = found.join(hot, "h", "left").withColumn("part", F.pmod(F.xxhash64(*keys, "place"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    seeds = seeds.join(hot, "h", "left").select("h", "item_id", "item", F.col("place").alias("item_place"), F.col("n").alias("item_n"), F.col("near").alias("item_near"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    names = [*keys, "item_id", "item"]
+    equal = found.join(seeds, ["h", "part"]).drop("h", "part").mapInArrow(_verified(names), _schema(names, "shift bigint", "chunk bigint", "bits bigint"))
+    chunks = equal.groupBy(*names, "shift", "chunk").agg(F.bit_or("bits").alias("bits"))
+    lines = chunks.groupBy(*names, "shift").agg(
+        F.sum(F.bit_count("bits")).alias("n_equal"),
+        F.min(F.expr("chunk * 32 + length(bin(bits & -bits)) - 1")).alias("first"),
+        F.max(F.expr("chunk * 32 + length(bin(bits)) - 1")).alias("last"),
+    )
+    best = lines.groupBy(*names).agg(F.max(F.struct("n_equal", (-F.col("first")).alias("first"), (F.col("last") - F.col("first") + 1).alias("n_words"))).alias("b"))
+    return best.select(*keys, "item_id", (-F.col("b.first")).alias("first_word"), "b.n_words", "b.n_equal")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, most_bits: int = MOST_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, item_id, first_word (of the document, from 0), n_words, n_equal: one row for each overlap of a row of
-    docs with an item, on its best diagonal.
+    docs with an item, on its diagonal of most equal tokens (of several, the first in the document).
+
+    Documents without an overlap give no row; null and empty texts have none.  Repeated rows of docs give repeated results,
+    repeated items count once; items that share an id are searched each.  An empty benchmark or table gives an empty
+    result.  Items without tokens or without id are not searched.  Texts of any length are searched whole; a null doc_id
+    stays null; more columns are ignored.
+    """
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _overlaps(docs, ["row", "doc_id"], benchmark, most_bits, hot_rows).drop("row")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_bits: int = MOST_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows of docs without an overlap, with all their columns.  Null and empty texts have no overlap and stay.
 
-    Documents without an overlap give no row; null and empty texts have none.  Repeated rows give repeated results.  An
-    empty benchmark or table gives an empty result.  Items without tokens or without id are not searched.  Texts of any
-    length are searched whole; a null doc_id stays null; more columns are ignored.
+    The rows that go are known by doc_id and two hashes of the text; they are settled, so Spark knows their size when it
+    chooses between a broadcast (rows pass in place) and a shuffle.
     """
-    schema = "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, n_equal bigint"
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [docs.mapInArrow(_hits(seeds), schema) for seeds in blocks(benchmark, block_tokens)]
-    out = found[0] if found else docs.sparkSession.createDataFrame([], schema)
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows of docs without an overlap, with all their columns; rows pass in place, without a shuffle.  Null and empty
-    texts have no overlap and stay."""
-    for seeds in blocks(benchmark, block_tokens):
-
-        def run(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                raw, off = utf8(batch["text"])
-                clean = np.ones(batch.num_rows, bool)
-                for a, _, words, at in doc_words(raw, off):
-                    clean[[a + f[0] for f in find(words, at, seeds)]] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    own = {"doc_id": F.col("doc_id").cast("long"), "t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
+    found = _overlaps(docs.select(*(c.alias(k) for k, c in own.items()), "text"), list(own), benchmark, most_bits, hot_rows)
+    gone = settle(found.select(*(F.col(k).alias(f"gone_{k}") for k in own)).distinct())
+    here = docs.select(F.struct(*docs.columns).alias("row"), *(c.alias(f"own_{k}") for k, c in own.items()))
+    return here.join(gone, [here[f"own_{k}"].eqNullSafe(gone[f"gone_{k}"]) for k in own], "left_anti").select("row.*")

@@ -115,10 +115,10 @@ def test_decontamination(spark):
     rows += [(60, None), (61, ""), (62, items[0].upper()), (62, items[0].upper()), (63, "is too short"), (64, "too long short"), (65, "four words of all"), (66, "Four words in all."), (67, "x four words in all"), (None, items[1])]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
     want = Counter((d, i) for d, t in rows for i, x in enumerate(items) if words_of(x) and brute_overlap(words_of(t), words_of(x)))
-    for block in (1_000_000, 20):
-        got = Counter((x.doc_id, x.item_id) for x in decontaminate.contaminated(frame(spark, rows), bench, block).collect())
+    for bits, hot in ((decontaminate.MOST_BITS, decontaminate.HOT_ROWS), (6, 1)):
+        got = Counter((x.doc_id, x.item_id) for x in decontaminate.contaminated(frame(spark, rows), bench.union(bench.limit(1)), bits, hot).collect())
         assert got == want and got[62, 0] == 2
-    clean = decontaminate.drop_contaminated(frame(spark, rows), bench, 20)
+    clean = decontaminate.drop_contaminated(frame(spark, rows), bench, 6, 1)
     assert sorted(x.doc_id for x in clean.collect()) == sorted(d for d, _ in rows if not any(w[0] == d for w in want))
     assert decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
