@@ -33,9 +33,9 @@ SHORT = tuple("1" * k for k in range(1, MIN_ITEM))
 #: Tokens before a seed's first, and from it on, that a window over the seed can reach.
 BEFORE, AFTER = WINDOW - len(min(MASKS, key=len)), WINDOW
 NEAR = BEFORE + AFTER
-#: Most bits of the table that goes ahead of the join, as a power of two: 8 MB.  A benchmark that fills it lets more document
+#: Most bits of the table that goes ahead of the join, as a power of two: 32 MB.  A benchmark that fills it lets more document
 #: seeds through to the join and changes no result.
-MOST_BITS = 26
+MOST_BITS = 28
 #: A hash that holds more than one in HOT_KEYS of the document seeds (and over HOT_ROWS of them) is split; so at most HOT_KEYS are.
 HOT_KEYS, HOT_ROWS = 10_000, 1_000
 #: Seeds that leave a Python worker at once.
@@ -59,7 +59,10 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 
 def _seeds(keys: list[str], masks: tuple[str, ...], present: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Seeds of texts: those that the bit table may hold, or those that each text, as an item, is found by."""
-    shift = np.uint64(0 if present is None else 64 - (present.size * 64).bit_length() + 1)
+    bits = 0 if present is None else (present.size * 64).bit_length() - 1
+
+    def holds(slot: np.ndarray) -> np.ndarray:
+        return (present[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,8 +75,8 @@ def _seeds(keys: list[str], masks: tuple[str, ...], present: np.ndarray | None =
                     if present is None:
                         p = np.arange(h.size)
                     else:
-                        slot = h >> shift
-                        p = np.flatnonzero((present[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+                        p = np.flatnonzero(holds(h >> np.uint64(64 - bits)))
+                        p = p[holds(h[p] >> np.uint64(64 - 2 * bits) & np.uint64((1 << bits) - 1))]
                     text = np.searchsorted(at, p, "right") - 1
                     good = p + len(mask) <= at[text + 1]
                     if present is None:
@@ -126,10 +129,11 @@ def _schema(keys: list[str], *more: str) -> str:
 
 
 def bit_table(hashes: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """A bit for each value of the highest bits of a hash, set where the column h has one; 16 bits a hash, but never more than
-    2 ** most_bits in all, which bounds what comes to the driver and goes to each worker."""
-    bits = max(6, min(most_bits, (hashes.count() * 16).bit_length()))
-    slots = hashes.select(F.expr(f"shiftrightunsigned(h, {64 - bits})").alias("slot"))
+    """Bits that each hash in the column h sets at two places, named by its highest bits and by those after them; some 100
+    bits a hash, but never more than 2 ** most_bits in all, which bounds what comes to the driver and goes to each worker."""
+    bits = max(6, min(most_bits, (hashes.count() * 64).bit_length()))
+    places = F.array(F.expr(f"shiftrightunsigned(h, {64 - bits})"), F.expr(f"shiftrightunsigned(h, {64 - 2 * bits}) & {(1 << bits) - 1}L"))
+    slots = hashes.select(F.explode(places).alias("slot"))
     words = slots.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
     present = np.zeros(1 << (bits - 6), np.uint64)
     present[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
