@@ -20,8 +20,8 @@ from spanloom.store import settle
 
 
 def _rejected(rows: DataFrame, reason: str) -> DataFrame:
-    """Rejections of spans, with what the span was."""
-    raw = F.to_json(F.struct("start_index", "end_index", "kind", "confidence", "evidence", "end_evidence"))
+    """Rejections of spans, with what the span was: those of these columns that it has."""
+    raw = F.to_json(F.struct(*(c for c in ("start_index", "end_index", "kind", "confidence", "evidence", "end_evidence") if c in rows.columns)))
     return rows.select("episode", "chunk", "ord", F.lit(reason).alias("reason"), F.substring(raw, 1, C.RAW_TRUNCATE).alias("raw"))
 
 

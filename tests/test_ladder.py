@@ -42,6 +42,13 @@ def test_clip_merge_and_evidence(spark):
     assert run(spark, seg, [{"ad_spans": [span(5, 6, 0.9, "nothing of the kind at all")]}]) == ([(5, 6, 0.45, "uncertain")], ["evidence not found"])
 
 
+def test_clip_of_bare_spans(spark):
+    bare = spark.createDataFrame([("ep", 0, k, i, j) for k, (i, j) in enumerate([(-2, 3), (2, 7), (18, 23), (21, 26)])], "episode string, chunk int, ord int, start_index int, end_index int")
+    kept, log = ladder.clip(bare, chunks(spark, (0, 20)))
+    assert sorted((r.ord, r.start_index, r.end_index) for r in kept.collect()) == [(0, 0, 3), (1, 2, 7), (2, 18, 19)]
+    assert sorted((r.ord, r.reason, json.loads(r.raw)) for r in log.collect()) == [(0, "clipped", {"start_index": -2, "end_index": 3}), (2, "clipped", {"start_index": 18, "end_index": 23}), (3, "outside labelable window", {"start_index": 21, "end_index": 26})]
+
+
 def test_malformed(spark):
     seg = segments(spark)
     got = run(spark, seg, [{"ad_spans": [span(3.7, "5", "x", "segment 3 some"), {"start_index": "a", "end_index": 1}, "text", {"end_index": 2}]}])
