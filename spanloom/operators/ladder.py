@@ -56,8 +56,10 @@ def parse_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def clip(spans: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spans cut to their window [a, b); what falls outside is rejected, what was cut is kept and logged."""
-    both = spans.join(chunks.select("episode", "chunk", "a", "b"), ["episode", "chunk"])
+    """Spans cut to their window [a, b); what falls outside is rejected, what was cut is kept and logged.  A null episode
+    is an episode of its own."""
+    windows = chunks.select(F.col("episode").alias("_episode"), F.col("chunk").alias("_chunk"), "a", "b")
+    both = spans.join(windows, F.col("episode").eqNullSafe(F.col("_episode")) & (F.col("chunk") == F.col("_chunk"))).drop("_episode", "_chunk")
     both = both.withColumns({"i": F.greatest("start_index", "a"), "j": F.least(F.col("end_index"), F.col("b") - 1)})
     both = both.withColumn("reason", F.when(F.col("i") > F.col("j"), "outside labelable window").when((F.col("i") != F.col("start_index")) | (F.col("j") != F.col("end_index")), "clipped"))
     kept = both.where("i <= j").withColumns({"start_index": F.col("i"), "end_index": F.col("j")}).drop("a", "b", "i", "j", "reason")

@@ -1,6 +1,6 @@
 """Chapter lists of all episodes, also short ones, against plain Python."""
 
-from conftest import DATA
+from conftest import DATA, oracle_rows, rows_of
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,3 +55,14 @@ def test_chapters_of_all_episodes(spark, tmp_path):
     assert any(sum(r[0] == m[0] for r in spans) < 3 for m in media) and got == want
     bodies = {r.episode: r.body.count("[CHAPTER]") for r in registry.QUERIES["export_ffmeta"](spark, data).collect()}
     assert bodies == {k: len(v) for k, v in want.items()}
+
+
+def test_span_clip_of_events_without_user(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.withColumn("user_id", F.when(F.col("user_id") % 7 > 0, F.col("user_id"))).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    (tmp_path / "flat").mkdir()
+    (next((tmp_path / "events.parquet").glob("part-*.parquet"))).rename(tmp_path / "flat/events.parquet")
+    columns, want = oracle_rows(registry.ORACLE_SQL["span_clip"], tmp_path / "flat")
+    got = registry.QUERIES["span_clip"](spark, str(tmp_path / "flat"))
+    assert sorted(got.columns) == columns and rows_of(got) == want
+    assert sum(r[columns.index("episode")] is None for r in want) > 20
