@@ -8,8 +8,10 @@ middle of a block; the runs of tokens that are the page's own stay.  Inside an a
 the host, and what is cut must be a small part of it.  A page that is covered as a whole is a copy of another, not
 boilerplate, and keeps its text.
 
-A host is cut into shards of about SHARD_CHARS, by a hash of the page, so that one host may be any size.  A run must stand
-on a share of a shard's pages, which is the same for one shard or twenty, but not on fewer than PAGES of them.
+A host is cut into shards of about SHARD_CHARS, by a hash of the page, so that one host may be any size.  A run's pages
+are those of the whole host, so the texts are the same for one shard or twenty: what stands on a share of the host's pages
+stands on that share of the pages of a shard at least, so each shard names the runs that do, all shards count those, and
+the sums decide.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.textarrays import doc_words, utf8
+from spanloom.llm.textarrays import _SHINGLE, doc_words, mix64, utf8
 
 # Elements and words of class, id and role by what they mean.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -164,15 +167,14 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def coverage(words: np.ndarray, page: np.ndarray, pages: int, share: float) -> np.ndarray:
-    """Which tokens stand in a run of RUN tokens that occurs on at least ``pages`` pages and ``share`` of them all.
+def runs(words: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, rank of the run at each, pages by rank) of the runs of RUN tokens that stand within a page.
 
     words: token hashes of all pages end to end; page: the page of each token, ascending from 0.
     """
-    n = words.size
-    covered = np.zeros(n, bool)
-    if n < RUN:
-        return covered
+    none = np.zeros(0, np.int64)
+    if words.size < RUN:
+        return none, none, none
     rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
     # Prefix doubling: the rank of the first 2, 4, 8 tokens of each suffix from the ranks of its halves.
     length = 1
@@ -180,51 +182,108 @@ def coverage(words: np.ndarray, page: np.ndarray, pages: int, share: float) -> n
         rest = rank[length:]
         rank = np.unique(rank[: rest.size] * (int(rank.max()) + 1) + rest, return_inverse=True)[1].astype(np.int64)
         length *= 2
-    rank = rank[: n - RUN + 1]
-    within = page[: rank.size] == page[RUN - 1 :]
-    places = np.flatnonzero(within)
+    rank = rank[: words.size - RUN + 1]
+    places = _places(page)
     if not places.size:
-        return covered
+        return none, none, none
     n_pages = int(page[-1]) + 1
-    spread = np.bincount(np.unique(rank[places] * n_pages + page[places]) // n_pages, minlength=int(rank.max()) + 1)
-    begins = places[spread[rank[places]] >= max(pages, share * n_pages)]
+    rank = rank[places]
+    return places, rank, np.bincount(np.unique(rank * n_pages + page[places]) // n_pages, minlength=int(rank.max()) + 1)
+
+
+def _places(page: np.ndarray) -> np.ndarray:
+    """Where runs begin that stand within a page."""
+    return np.flatnonzero(page[: max(0, page.size - RUN + 1)] == page[RUN - 1 :])
+
+
+def _run_hashes(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The runs at ``places``, by which shards tell each other of them."""
+    h = np.zeros(places.size, np.uint64)
+    for k in range(RUN):
+        h += words[places + k] * _SHINGLE[k]
+    return mix64(h)
+
+
+def _covered(begins: np.ndarray, n: int) -> np.ndarray:
+    """Which of n tokens stand in runs at ``begins``."""
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, begins, 1)
     np.add.at(edge, begins + RUN, -1)
     return np.cumsum(edge)[:n] > 0
 
 
+def coverage(words: np.ndarray, page: np.ndarray, pages: int, share: float) -> np.ndarray:
+    """Which tokens stand in a run that occurs on at least ``pages`` pages and ``share`` of them all; see runs()."""
+    places, rank, spread = runs(words, page)
+    return _covered(places[spread[rank] >= max(pages, share * (int(page[-1]) + 1))] if places.size else places, words.size)
+
+
 def _kept(text: str, covered: np.ndarray) -> str:
     """The words of a block that aren't covered."""
     return " ".join(w for w, gone in zip(_WORDS.split(text), covered, strict=True) if not gone)
 
 
-def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
-    """The main text of each page of a shard, from the blocks of all of them."""
-    inside = [any(k == INSIDE for k, _ in p) for p in pages]
-    candidates = [[b for b in p if not has or b[0] == INSIDE] for p, has in zip(pages, inside, strict=True)]
-    raw, off = utf8(pa.array([t for p in candidates for _, t in p], pa.large_string()))
-    found = [(w, at, b - a) for a, b, w, at in doc_words(raw, off)]
-    if not found:
-        return ["" for _ in pages]
-    words = np.concatenate([f[0] for f in found])
-    sizes = np.concatenate([np.diff(f[1]) for f in found])
-    at = np.zeros(sizes.size + 1, np.int64)
-    np.cumsum(sizes, out=at[1:])
-    owner = np.repeat(np.arange(len(pages)), [len(p) for p in candidates])
-    page = np.repeat(owner, sizes)
-    _, page = np.unique(page, return_inverse=True)
-    outside, within = coverage(words, page, PAGES, SHARE), coverage(words, page, PAGES_INSIDE, SHARE_INSIDE)
-    out, k = [], 0
-    for p, has in zip(candidates, inside, strict=True):
+@dataclass(frozen=True)
+class Tokens:
+    """Of pages: whether each has an article, its blocks that count, and their tokens end to end: hashes, offsets by block
+    and the page of each, from 0 on over the pages that have tokens."""
+
+    inside: list[bool]
+    blocks: list[list[tuple[int, str]]]
+    words: np.ndarray
+    at: np.ndarray
+    page: np.ndarray
+
+    @classmethod
+    def of(cls, pages: list[list[tuple[int, str]]]) -> Tokens:
+        inside = [any(k == INSIDE for k, _ in p) for p in pages]
+        blocks = [[b for b in p if not has or b[0] == INSIDE] for p, has in zip(pages, inside, strict=True)]
+        raw, off = utf8(pa.array([t for p in blocks for _, t in p], pa.large_string()))
+        found = [(w, at) for _, _, w, at in doc_words(raw, off)]
+        words = np.concatenate([np.zeros(0, np.uint64), *(f[0] for f in found)])
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(f[1]) for f in found)])
+        at = np.zeros(sizes.size + 1, np.int64)
+        np.cumsum(sizes, out=at[1:])
+        page = np.repeat(np.repeat(np.arange(len(pages)), [len(p) for p in blocks]), sizes)
+        return cls(inside, blocks, words, at, np.unique(page, return_inverse=True)[1])
+
+    @property
+    def pages(self) -> int:
+        return int(self.page[-1]) + 1 if self.page.size else 0
+
+
+@dataclass(frozen=True)
+class Known:
+    """Runs of a host, the pages of each and the pages of the host that have tokens."""
+
+    runs: np.ndarray
+    spread: np.ndarray
+    pages: int
+
+
+def main_texts(pages: list[list[tuple[int, str]]], known: Known | None = None) -> list[str]:
+    """The main text of each page, from the blocks of all of them.  known: where they are only a shard of their host."""
+    t = Tokens.of(pages)
+    if known is None:
+        places, rank, spread = runs(t.words, t.page)
+        spread, n_pages = spread[rank], t.pages
+    else:
+        places, n_pages = _places(t.page), known.pages
+        order = np.argsort(known.runs)
+        here = _run_hashes(t.words, places)
+        spot = np.minimum(np.searchsorted(known.runs[order], here), max(order.size - 1, 0))
+        spread = np.where(known.runs[order][spot] == here, known.spread[order][spot], 0) if order.size else np.zeros(places.size, np.int64)
+    outside, within = (_covered(places[spread >= max(least, share * n_pages)], t.words.size) for least, share in ((PAGES, SHARE), (PAGES_INSIDE, SHARE_INSIDE)))
+    out, k, at = [], 0, t.at
+    for p, has in zip(t.blocks, t.inside, strict=True):
         covered = (within if has else outside)[at[k] : at[k + len(p)]]
         lost = np.count_nonzero(covered)
         if lost and lost <= covered.size * (PART_INSIDE if has else PART_OUTSIDE):
-            texts = [_kept(t, covered[at[k + j] - at[k] : at[k + j + 1] - at[k]]) for j, (_, t) in enumerate(p)]
+            texts = [_kept(x, covered[at[k + j] - at[k] : at[k + j + 1] - at[k]]) for j, (_, x) in enumerate(p)]
         else:
-            texts = [t for _, t in p]
+            texts = [x for _, x in p]
         k += len(p)
-        out.append(" ".join(t for t in texts if t))
+        out.append(" ".join(x for x in texts if x))
     return out
 
 
@@ -234,14 +293,60 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, 200)
             found = [blocks(h) for h in part["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part["page_id"], part["url"], part["host"], part["shard"], pa.array([[k for k, _ in p] for p in found], pa.list_(pa.int32())), pa.array([[t for _, t in p] for p in found], pa.list_(pa.string()))],
-                ["page_id", "url", "host", "shard", "kinds", "texts"],
+                [part["page_id"], part["url"], part["host"], part["shard"], part["shards"], pa.array([[k for k, _ in p] for p in found], pa.list_(pa.int32())), pa.array([[t for _, t in p] for p in found], pa.list_(pa.string()))],
+                ["page_id", "url", "host", "shard", "shards", "kinds", "texts"],
             )
 
 
-def _extracted(shard: pa.Table) -> pa.Table:
-    pages = [list(zip(k, t, strict=True)) for k, t in zip(shard["kinds"].to_pylist(), shard["texts"].to_pylist(), strict=True)]
-    return pa.table({"page_id": shard["page_id"], "url": shard["url"].cast(pa.string()), "text": pa.array(main_texts(pages), pa.string())})
+def _blocks_of(shard: pa.Table) -> list[list[tuple[int, str]]]:
+    return [list(zip(k, t, strict=True)) for k, t in zip(shard["kinds"].to_pylist(), shard["texts"].to_pylist(), strict=True)]
+
+
+def _runs_of(shard: pa.Table, found: np.ndarray, pages: np.ndarray) -> pa.Table:
+    """Rows (host, shards, run, pages) of one shard."""
+    n = found.size
+    return pa.table({"host": pa.array([shard["host"][0].as_py()] * n, pa.string()), "shards": pa.array([shard["shards"][0].as_py()] * n, pa.int32()), "run": pa.array(found.view(np.int64)), "pages": pa.array(pages.astype(np.int64))})
+
+
+def _named(shard: pa.Table) -> pa.Table:
+    """The runs that a shard of a host of several names: those on SHARE of its pages."""
+    none = np.zeros(0, np.uint64)
+    if shard["shards"][0].as_py() == 1:
+        return _runs_of(shard, none, none)
+    t = Tokens.of(_blocks_of(shard))
+    places, rank, spread = runs(t.words, t.page)
+    number, first = np.unique(rank, return_index=True)
+    number, first = (x[spread[number] >= SHARE * t.pages * (1 - 1e-9)] for x in (number, first)) if places.size else (number, first)
+    return _runs_of(shard, _run_hashes(t.words, places[first]), spread[number])
+
+
+def _counted(shard: pa.Table, named: pa.Table) -> pa.Table:
+    """The pages of a shard on which runs stand that any shard of its host has named, and at a null run all its pages."""
+    if not shard.num_rows or not named.num_rows:
+        return pa.table({"host": pa.array([], pa.string()), "shards": pa.array([], pa.int32()), "run": pa.array([], pa.int64()), "pages": pa.array([], pa.int64())})
+    t = Tokens.of(_blocks_of(shard))
+    known = np.sort(_flat(named["runs"]).view(np.uint64))
+    places = _places(t.page)
+    here = _run_hashes(t.words, places)
+    spot = np.minimum(np.searchsorted(known, here), known.size - 1)
+    hit = known[spot] == here
+    n_pages = max(t.pages, 1)
+    found, pages = np.unique(np.unique(spot[hit] * n_pages + t.page[places[hit]]) // n_pages, return_counts=True)
+    whole = _runs_of(shard, np.zeros(1, np.uint64), np.array([t.pages])).set_column(2, "run", pa.nulls(1, pa.int64()))
+    return pa.concat_tables([_runs_of(shard, known[found], pages), whole])
+
+
+def _flat(lists: pa.ChunkedArray) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _extracted(shard: pa.Table, found: pa.Table) -> pa.Table:
+    if not shard.num_rows:
+        return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+    known = None
+    if shard["shards"][0].as_py() > 1:
+        known = Known(_flat(found["runs"]).view(np.uint64), _flat(found["spread"]), found["total"][0].as_py()) if found.num_rows else Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
+    return pa.table({"page_id": shard["page_id"], "url": shard["url"].cast(pa.string()), "text": pa.array(main_texts(_blocks_of(shard), known), pa.string())})
 
 
 def extract(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -255,7 +360,16 @@ def extract(pages: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     large = pages.groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("n")).where(F.col("n") > shard_chars).select("host", F.ceil(F.col("n") / shard_chars).alias("shards"))
     few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     placed = pages.join(F.broadcast(large) if few else large, "host", "left")
-    placed = placed.select("page_id", "url", "host", "html", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"))
-    parsed = placed.mapInArrow(_parsed, "page_id bigint, url string, host string, shard int, kinds array<int>, texts array<string>")
-    found = parsed.groupBy("host", "shard").applyInArrow(_extracted, "page_id bigint, url string, text string")
+    shards = F.coalesce(F.col("shards").cast("int"), F.lit(1))
+    placed = placed.select("page_id", "url", "host", "html", F.pmod(F.xxhash64("page_id", "url", F.length("html")), shards).cast("int").alias("shard"), shards.alias("shards"))
+    # The three that follow read one shuffle of the parsed pages.
+    parsed = placed.mapInArrow(_parsed, "page_id bigint, url string, host string, shard int, shards int, kinds array<int>, texts array<string>").groupBy("host", "shard")
+    each = [F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")]
+    rows = "host string, shards int, run bigint, pages bigint"
+    named = parsed.applyInArrow(_named, rows).groupBy("host", "shards").agg(F.collect_set("run").alias("runs")).select("host", *each, "runs")
+    counted = parsed.cogroup(named.groupBy("host", "shard")).applyInArrow(_counted, rows).groupBy("host", "shards", "run").agg(F.sum("pages").alias("pages"))
+    known = counted.groupBy("host", "shards").agg(F.collect_list(F.when(F.col("run").isNotNull(), F.struct("run", "pages"))).alias("found"), F.max(F.when(F.col("run").isNull(), F.col("pages"))).alias("total"))
+    known = known.select("host", *each, F.filter("found", lambda x: x["pages"] >= F.greatest(F.lit(float(PAGES)), F.lit(SHARE) * F.col("total"))).alias("found"), "total")
+    known = known.select("host", "shard", F.col("found.run").alias("runs"), F.col("found.pages").alias("spread"), "total")
+    found = parsed.cogroup(known.groupBy("host", "shard")).applyInArrow(_extracted, "page_id bigint, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))

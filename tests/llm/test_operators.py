@@ -339,6 +339,25 @@ def test_html_runs_inside_blocks(spark):
         assert all(got[k] == t for k, t in want.items()) and all(got[100 + k] == want[0] for k in range(50))
 
 
+def test_html_texts_do_not_depend_on_shards(spark):
+    """Runs count over the whole host: rare ones, those near a threshold and pages of any kind, in one shard or many."""
+    r = random.Random(11)
+    words = [f"t{k}" for k in range(5000)]
+    notes = [" ".join(r.choices(words, k=12)) for _ in range(12)]
+    pages = []
+    for k in range(240):
+        # Note j stands on j + 6 pages of 240: 12 pages are the share that decides.
+        own = [" ".join(r.choices(words, k=25)), *(n for j, n in enumerate(notes) if k % 40 == j and k // 40 < 6), *(notes[j] for j in range(12) if 239 - k < j)]
+        body = "".join(f"<p>{x}</p>" for x in own)
+        pages.append((k, "https://h.org/x", f"<article>{body}<p>{'stop ' * 9 if k % 5 else ''}</p></article>" if k % 3 == 0 else f"<div>{body}</div>" if k % 50 else ""))
+    pages += [(1000 + k, f"https://o{k % 3}.org/", f"<p>{notes[k % 12]} {k}</p>") for k in range(30)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    whole, *others = ({x.page_id: x.text for x in html_extract.extract(df, chars).collect()} for chars in (6_000_000, 9_000, 2_000))
+    assert len(whole) == 270 and all(o == whole for o in others)
+    plain = [t for k, t in whole.items() if k < 1000 and k % 3]
+    assert any(n in t for n in notes for t in plain) and sum(n in h for n in notes for k, _, h in pages[:240] if k % 3) > sum(n in t for n in notes for t in plain)
+
+
 def test_coverage_is_brute_force():
     r = np.random.default_rng(8)
     words, page = r.integers(0, 3, 400).astype(np.uint64), np.sort(r.integers(0, 12, 400))
