@@ -9,8 +9,8 @@ added in the logistic domain under weights that a gate (how often two of the con
 refined online: each text starts from the same ones, and every block of its words moves them along the gradient of the
 coding cost.  All that predicts a bit stands before it, so the sum over a text's bits is the log probability of the text.
 
-Words rarer than LOOKED_UP of the tokens aren't counted as wholes, only by their last letters: what a share bounds
-doesn't fill the tables however large the corpus is.
+Every word of the training texts counts in every context, however rare it is.  Contexts that share a slot add up; the
+weights of a context that says little shrink.
 
 The tables have 2 ** SLOT_BITS slots each whatever the corpus: that is the bound of what the driver and each worker
 hold.  Contexts inside a word are counted on the vocabulary, those over word borders on the texts; a task sends the
@@ -377,8 +377,8 @@ def _cells(table: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([table], pa.int32()), pa.array([slab], pa.int32()), pa.array([cells], pa.binary())], ["table", "slab", "cells"])
 
 
-def _count_inner(code: Code, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cells of the inner contexts, of a vocabulary (word, n); the last of them of words that stand ``least`` times."""
+def _count_inner(code: Code) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cells of the inner contexts, of a vocabulary (word, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((INNER, 2 << SLOT_BITS), np.int64)
@@ -390,8 +390,7 @@ def _count_inner(code: Code, least: float) -> Callable[[Iterator[pa.RecordBatch]
                 s = spell(raw, off[a : a + n.size], np.diff(off[a : a + n.size + 1]), code)
                 times = np.repeat(n, np.diff(s.first_bit))
                 for k, slots in enumerate(inner_slots(s)):
-                    kept = slice(None) if k < INNER - 1 else np.flatnonzero(times >= least)
-                    np.add.at(counts[k], slots[kept] * 2 + s.bit[kept], times[kept])
+                    np.add.at(counts[k], slots * 2 + s.bit, times)
         for k in range(INNER):
             yield from _cells(k, counts[k])
 
@@ -469,7 +468,7 @@ def learn(train: DataFrame) -> tuple[Model, DataFrame]:
     code = _code(settle(vocabulary.mapInArrow(_count_symbols, "pair bigint, symbol bigint, n bigint").groupBy("pair", "symbol").agg(F.sum("n").alias("n"))))
     least = LOOKED_UP * tokens
     cells = "table int, slab int, cells binary"
-    counted = vocabulary.mapInArrow(_count_inner(code, least), cells).unionByName(train.mapInArrow(_count_outer(code), cells))
+    counted = vocabulary.mapInArrow(_count_inner(code), cells).unionByName(train.mapInArrow(_count_outer(code), cells))
     slabs = settle(counted.groupBy("table", "slab").applyInArrow(_states, "table int, slab int, states binary"))
     tables = np.full((TABLES, 1 << SLOT_BITS), EMPTY, np.uint8)
     unpack = zstandard.ZstdDecompressor()

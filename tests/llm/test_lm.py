@@ -96,6 +96,21 @@ def test_scores_equal_the_plain_twin(spark):
     assert all(math.isclose(got[d], want[d], rel_tol=2e-3, abs_tol=2e-3) for d in range(len(texts)))
 
 
+def test_rare_words_count_as_wholes(spark, monkeypatch):
+    """Words that aren't looked up in memory count in the contexts and in the base as the others do."""
+    r = random.Random(4)
+    words = ["the", "of"] * 8 + [f"{a}{b}ering" for a in ("wand", "flick", "quaver") for b in ("", "b", "l")]
+    texts = [" ".join(r.choices(words, k=40)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    usual = {x.doc_id: x for x in L.lm_scores(docs).collect()}
+    monkeypatch.setattr(L, "LOOKED_UP", 0.1)
+    got = {x.doc_id: x for x in L.lm_scores(docs).collect()}
+    want = plain_scores([t for d, t in enumerate(texts) if zlib.crc32(str(d).encode()) % 7 != 2], texts)
+    for d in range(len(texts)):
+        assert math.isclose(got[d].score, want[d], rel_tol=2e-3) and got[d].score == usual[d].score
+        assert got[d].n_known == usual[d].n_known and math.isclose(got[d].base_score, usual[d].base_score, rel_tol=1e-12)
+
+
 def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
     r = random.Random(2)
     texts = [" ".join(r.choices(["aa", "bbb", "cccc", "dd"], k=n)) for n in (700, 20, 3)]
