@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,18 @@ OWN_CODE = 3e-4
 LOOKED_UP = 1e-7
 STOP, _START = 0x20, 256
 _END = 1
-#: Bytes of texts and words of one text that are spelled at a time; they bound the arrays to some hundred MB.
-SLICE, PIECE = 1 << 17, 60_000
+#: Bytes of texts and words of one text that are scored, or counted, together: a context that they hold twice is looked
+#: up once.  They bound the arrays to some hundred MB.
+SLICE, PIECE = 1 << 20, 300_000
+COUNTED, COUNTED_PIECE = 1 << 22, 1_200_000
+#: Bytes that are cut into words at a time.
+CUT = 1 << 17
+#: Words that are scored at a time: their bits stay in a processor's cache.
+STEP_WORDS = 2048
+#: Sums that the bits side by side go to in turn.
+LANES = 4
+#: Words that are spelled and looked up at a time.
+PART = 8192
 _SALT = tuple(np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
 
 
@@ -83,6 +94,11 @@ class Code:
     nodes: np.ndarray
     bits: np.ndarray
 
+    @cached_property
+    def runs(self) -> Runs:
+        """The steps of each path: the node's number in a line, with LINE for a bit that is set."""
+        return Runs(self.nodes & np.uint8(LINE - 1) | self.bits * np.uint8(LINE), np.append(self.begins, self.nodes.size))
+
     @classmethod
     def of(cls, after_one: np.ndarray, pairs: np.ndarray | None = None, after_two: np.ndarray | None = None) -> Code:
         """after_one: (257, 256) counts of each symbol after each; after_two: (pairs, 256) those after the pairs that have
@@ -127,7 +143,7 @@ class Spelled:
     """Words spelled with their stops, as symbols and bits end to end.
 
     first_symbol, first_bit: of each word, and the end; steps: bits of each symbol; short: hash of the last 2 symbols
-    before each; inner: line and twist of each symbol in each inner context; node, bit: of each bit.
+    before each; inner: place of each symbol in each inner context; node (its number in a line), bit: of each bit.
     """
 
     first_symbol: np.ndarray
@@ -141,7 +157,7 @@ class Spelled:
 
 def _places(context: np.ndarray) -> np.ndarray:
     """First slot of the line of each hashed context, with its twist in the low bits."""
-    return (context >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    return (context >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
 def symbol_paths(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -169,7 +185,7 @@ def spell(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, code: Code, in
     """The words at ``begins`` in raw.  A word of size 0 is the end of a text: a stop alone.  inner: also their places."""
     first, word, place, symbol, two = symbol_paths(raw, begins, sizes)
     short = mix64(two.astype(np.uint64) + _SALT[0])
-    places = np.zeros((0, symbol.size), np.int32)
+    places = np.zeros((0, symbol.size), np.int64)
     if inner:
         tail = two | _before(symbol, place, 3) << 20 | _before(symbol, place, 4) << 30
         letters = _BYTE[symbol] * _PLACE[place & (_PLACES - 1)]
@@ -180,8 +196,35 @@ def spell(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, code: Code, in
     steps = code.sizes[path]
     begin = np.zeros(symbol.size + 1, np.int64)
     np.cumsum(steps, out=begin[1:])
-    at = np.arange(begin[-1]) + np.repeat(code.begins[path] - begin[:-1], steps)
-    return Spelled(first, begin[first], steps, short, places, code.nodes[at], code.bits[at])
+    step = code.runs.of(path)
+    return Spelled(first, begin[first], steps.astype(np.uint8), short, places, step & np.uint8(LINE - 1), step >= LINE)
+
+
+def spell_parts(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray, code: Code, inner: Callable[[Spelled], np.ndarray] | None = None) -> tuple[Spelled, np.ndarray | None]:
+    """The words spelled PART at a time (their arrays stay in a processor's cache), without inner places, and what ``inner``
+    gives for the bits of each part, end to end."""
+    parts, found = [], []
+    for a in range(0, max(sizes.size, 1), PART):
+        parts.append(spell(raw, begins[a : a + PART], sizes[a : a + PART], code, inner is not None))
+        if inner is not None:
+            found.append(inner(parts[-1]))
+    first = (np.concatenate([np.zeros(1, np.int64), *(np.diff(getattr(s, name)) for s in parts)]).cumsum() for name in ("first_symbol", "first_bit"))
+    whole = Spelled(*first, *(np.concatenate([getattr(s, name) for s in parts]) for name in ("steps", "short")), parts[0].inner[:, :0], *(np.concatenate([getattr(s, name) for s in parts]) for name in ("node", "bit")))
+    return whole, np.concatenate(found) if found else None
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, ascending, and the number of each key among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    fresh = np.ones(keys.size, bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=fresh[1:])
+    chosen = order[fresh]
+    place = np.empty(keys.size, np.int64)
+    place[order] = chosen[np.cumsum(fresh) - 1]
+    is_chosen = np.zeros(keys.size, np.int64)
+    is_chosen[chosen] = 1
+    return np.flatnonzero(is_chosen), (np.cumsum(is_chosen) - 1)[place]
 
 
 def most_used(kind: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -200,37 +243,51 @@ def most_used(kind: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def outer_contexts(raw: np.ndarray, words: np.ndarray, at: np.ndarray, begins: np.ndarray, sizes: np.ndarray, kind: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, for each word, of what the word before it in its text counts as and of the word its text has used most."""
-    short = sizes <= WHOLE
+def outer_contexts(raw: np.ndarray, at: np.ndarray, begins: np.ndarray, sizes: np.ndarray, kind: np.ndarray, types: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What the word before each in its text counts as, and the word that its text has used most: by number, with the
+    hash of each number."""
     last = np.maximum(begins + sizes - 1, 0)
-    counts_as = np.where(short, words, _LOWER[raw[last]].astype(np.uint64) << np.uint64(8) | _LOWER[raw[last - 1]]) if raw.size else words
-    before = np.empty_like(words)
+    counts_as = np.where(sizes <= WHOLE, kind, types.size + (_LOWER[raw[last]].astype(np.int64) << 8 | _LOWER[raw[last - 1]])) if raw.size else kind
+    before = np.empty_like(kind)
     before[1:] = counts_as[:-1]
-    before[at[:-1][np.diff(at) > 0]] = 3
-    return before * _SALT[3], np.append(types, _SALT[4])[most_used(kind, at)] * _SALT[4]
+    before[at[:-1][np.diff(at) > 0]] = types.size + (1 << 16)
+    most = most_used(kind, at)
+    most[most < 0] = types.size
+    letters = np.arange(1 << 16, dtype=np.uint64)
+    return [(before, np.concatenate([types, letters, np.array([3], np.uint64)]) * _SALT[3]), (most, np.append(types, _SALT[4]) * _SALT[4])]
+
+
+class Runs:
+    """Items of words, that lie from ``first`` on by word; those of any words are copied end to end, a word at a time."""
+
+    def __init__(self, items: np.ndarray, first: np.ndarray) -> None:
+        self.type = items.dtype
+        self.runs = pa.Array.from_buffers(pa.large_binary(), first.size - 1, [None, pa.py_buffer(first * items.itemsize), pa.py_buffer(items)])
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        found = self.runs.take(pa.array(words)).buffers()[2]
+        return np.frombuffer(found, self.type) if found is not None else np.zeros(0, self.type)
 
 
-def _joined(first: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Items of the words end to end, for items that lie from ``first`` on by word."""
-    n = first[words + 1] - first[words]
-    end = np.cumsum(n)
-    return np.arange(end[-1] if n.size else 0) + np.repeat(first[words] - end + n, n)
+class Outer:
+    """Slots of spelled words in an outer context."""
 
+    def __init__(self, s: Spelled) -> None:
+        self.symbols, self.bits = np.diff(s.first_symbol), np.diff(s.first_bit)
+        self.short, self.steps, self.node = Runs(s.short, s.first_symbol), Runs(s.steps, s.first_symbol), Runs(s.node, s.first_bit)
 
-def outer_slots(s: Spelled, words: np.ndarray, contexts: tuple[np.ndarray, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(number of each bit in ``s``, its slots in each outer context) of words (numbers in ``s``) end to end."""
-    symbol = _joined(s.first_symbol, words)
-    n = s.first_symbol[words + 1] - s.first_symbol[words]
-    steps, short = s.steps[symbol], s.short[symbol]
-    bit = _joined(s.first_bit, words)
-    node = s.node[bit] & (LINE - 1)
-    return bit, [np.repeat(_places((short + np.repeat(c, n)) * _SALT[0]), steps) ^ node for c in contexts]
+    def slots(self, words: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Of the bits of words (numbers in the spelled ones) end to end, under a context of each."""
+        hashed = self.short.of(words) + np.repeat(context, self.symbols[words])
+        hashed *= _SALT[0]
+        out = np.repeat(_places(hashed), self.steps.of(words))
+        out ^= self.node.of(words)
+        return out
 
 
 def inner_slots(s: Spelled) -> list[np.ndarray]:
     """Slots of the bits in each inner context."""
-    return [np.repeat(place, s.steps) ^ (s.node & (LINE - 1)) for place in s.inner]
+    return [np.repeat(place, s.steps) ^ s.node for place in s.inner]
 
 
 def state(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -239,53 +296,74 @@ def state(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (np.digitize(zeros + ones, SEEN) * LEVELS + level).astype(np.uint8)
 
 
-#: Log odds and how often seen, by state.
+#: Log odds (STEP times the level) and how often seen, by state.
 STRETCH = ((np.arange(256) % LEVELS - LEVELS // 2) * STEP).astype(np.float32)
 CONFIDENCE = (np.arange(256) // LEVELS).astype(np.int32)
-#: What log odds of a one count as, for a zero and a one.
-SIGN = np.array([1, -1], np.float32)
 EMPTY = int(state(np.zeros(1), np.zeros(1))[0])
 
 
 @dataclass(frozen=True)
 class Weights:
-    """Of each context, by text and gate, and the curvature so far."""
+    """Of each context, by text and gate, and the curvature so far; room for the arrays of a step."""
 
     of: np.ndarray
     curve: np.ndarray
+    room: np.ndarray
+    rows: np.ndarray
 
     @classmethod
     def start(cls, rows: int) -> Weights:
-        return cls(np.repeat(np.array(START, np.float32)[:, None], rows * GATES, axis=1), np.full(rows * GATES, CURVE))
-
-    def cost(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Bits that each text costs in one block; then the weights move.  x: (contexts, bits) log odds; text: ascending."""
-        rows = self.curve.size // GATES
-        total = np.zeros(rows)
-        if not bit.size:
-            return total
-        fresh = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-        low, high = int(text[0]) * GATES, (int(text[-1]) + 1) * GATES
-        row = text * GATES
-        row += gate
-        row -= low
-        odds, square, part = np.zeros((3, bit.size), np.float32)
-        for k in range(len(x)):
-            odds += np.multiply(self.of[k, low:high][row], x[k], out=part)
-            square += np.multiply(x[k], x[k], out=part)
-        sign = SIGN[bit.view(np.uint8)]
+        of = np.tile(np.array(START, np.float32)[:, None, None], (1, rows, GATES))
+        return cls(of, np.full((rows, GATES), CURVE), np.empty((TABLES + 3, 0), np.float32), np.empty(0, np.int64))
+
+    def cost(self, levels: list[np.ndarray], gate: np.ndarray, sign: np.ndarray, text: np.ndarray, first: np.ndarray, last: bool = False) -> np.ndarray:
+        """Bits that each text costs in one block; then the weights move, but for a ``last`` block.  levels: of each bit by context (small whole
+        numbers, log odds in steps); sign: of what the bit costs; text: distinct, with the first bit of each."""
+        row = self.rows[: gate.size]
+        row[:] = gate
+        row[first[1:]] += GATES
+        row[1:] -= gate[:-1]
+        np.cumsum(row, out=row)
+        of, curve = self.of[:, text].reshape(TABLES, -1), self.curve[text].reshape(-1)
+        by_step = of * np.float32(STEP)
+        *x, odds, part, bend = self.room[:, : gate.size]
+        square = np.zeros(gate.size, np.int16)
+        for k, level in enumerate(levels):
+            x[k][:] = level
+            square += np.square(level, dtype=np.int16)
+            np.take(by_step[k], row, out=part if k else odds, mode="clip")
+            if k:
+                part *= x[k]
+                odds += part
+            else:
+                odds *= x[k]
         odds *= sign
-        wrong = np.exp(np.minimum(np.maximum(odds, -20, out=odds), 20, out=odds), out=odds)
+        wrong = np.exp(np.clip(odds, -20, 20, out=odds), out=odds)
         either = np.add(wrong, 1, out=part)
         wrong /= either
-        total[text[fresh]] = np.add.reduceat(np.log(either, out=either), fresh, dtype=np.float64)
-        square *= wrong
-        square *= np.subtract(1, wrong, out=part)
-        self.curve[low:high] += np.bincount(row, square, minlength=high - low)
+        if not last:
+            np.multiply(square, wrong, out=bend)
+            bend /= either
+        cost = np.add.reduceat(np.log(either, out=either), first, dtype=np.float64) / np.log(2)
+        if last:
+            return cost
         wrong *= sign
-        for k in range(len(x)):
-            self.of[k, low:high] -= RATE * np.bincount(row, np.multiply(wrong, x[k], out=part), minlength=high - low) / self.curve[low:high]
-        return total / np.log(2)
+        # Bits side by side are summed in different lanes: none waits for the sum before it.
+        for lane in range(1, LANES):
+            row[lane::LANES] += lane * curve.size
+        curve += self._sums(row, bend, curve.size) * STEP**2
+        for k in range(TABLES):
+            of[k] -= RATE * STEP * self._sums(row, np.multiply(wrong, x[k], out=part), curve.size) / curve
+        self.of[:, text], self.curve[text] = of.reshape(TABLES, -1, GATES), curve.reshape(-1, GATES)
+        return cost
+
+    def with_room(self, bits: int) -> Weights:
+        """The same for steps of so many bits."""
+        return self if bits <= self.rows.size else Weights(self.of, self.curve, np.empty((TABLES + 3, bits), np.float32), np.empty(bits, np.int64))
+
+    @staticmethod
+    def _sums(row: np.ndarray, items: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(row, items, minlength=LANES * n).reshape(LANES, n).sum(axis=0)
 
 
 def with_ends(tokens: np.ndarray, at: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -300,51 +378,97 @@ def with_ends(tokens: np.ndarray, at: np.ndarray, begins: np.ndarray, sizes: np.
     return out[0], whole_at, out[1], out[2]
 
 
+def slices(raw: np.ndarray, off: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What doc_tokens gives, for runs of rows of about ``size`` bytes, cut into words CUT bytes at a time."""
+    held: list[tuple] = []
+    for found in doc_tokens(raw, off, slice_bytes=min(CUT, size)):
+        if held and off[found[1]] - off[held[0][0]] > size:
+            yield _merged(held)
+            held = []
+        held.append(found)
+    if held:
+        yield _merged(held)
+
+
+def _merged(held: list[tuple]) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    words, begins, sizes = (np.concatenate([h[k] for h in held]) for k in (2, 4, 5))
+    return held[0][0], held[-1][1], words, np.concatenate([np.zeros(1, np.int64), *(np.diff(h[3]) for h in held)]).cumsum(), begins, sizes
+
+
 def text_costs(raw: np.ndarray, words: np.ndarray, at: np.ndarray, begins: np.ndarray, sizes: np.ndarray, code: Code, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bits that each text costs, of words with the ends; the distinct words, and the number of each word among them.
     tables: (TABLES, slots) states."""
     rows = at.size - 1
     text = np.repeat(np.arange(rows), np.diff(at))
-    types, first, kind = np.unique(words, return_index=True, return_inverse=True)
-    contexts = outer_contexts(raw, words, at, begins, sizes, kind, types)
-    # Blocks of BLOCK_WORDS, 2 * BLOCK_WORDS, ... words, those of all texts side by side.
+    first, kind = distinct(words)
+    types = words[first]
+    contexts = outer_contexts(raw, at, begins, sizes, kind, types)
+    # Blocks of BLOCK_WORDS, 2 * BLOCK_WORDS, ... words, those of all texts side by side, STEP_WORDS or so at a time.
     block = ((np.sqrt(1 + 8 * ((np.arange(words.size) - at[text]) // BLOCK_WORDS)) - 1) // 2).astype(np.int64)
     order = np.argsort(block, kind="stable")
-    edges = np.searchsorted(block[order], np.arange(int(block.max()) + 2))
+    starts = np.flatnonzero(np.append(True, (np.diff(block[order]) != 0) | (np.diff(text[order]) != 0)))
+    edges = _edges(starts, block[order[starts]], words.size)
     weights, total = Weights.start(rows), np.zeros(rows)
     j = 0
     while j < edges.size - 1:
         last = max(j + 1, int(np.searchsorted(edges, edges[j] + PIECE, "right")) - 1)
         here = order[edges[j] : edges[last]]
         present, local = (np.arange(types.size), kind[here]) if here.size == words.size else np.unique(kind[here], return_inverse=True)
-        s = spell(raw, begins[first[present]], sizes[first[present]], code)
-        bits, outer = outer_slots(s, local, tuple(c[here] for c in contexts))
-        n = np.diff(s.first_bit)[local]
-        x = np.empty((TABLES, bits.size), np.float32)
-        for k, slots in enumerate(inner_slots(s)):
-            states = tables[k][slots]
-            x[k] = STRETCH[states][bits]
-        gate = (CONFIDENCE[states] * 4)[bits]
-        for k, slots in enumerate(outer, INNER):
-            states = tables[k][slots]
-            x[k] = STRETCH[states]
-            if k == INNER:
-                gate += CONFIDENCE[states]
-        bit, owner = s.bit[bits], np.repeat(text[here], n)
-        ends = np.append(0, np.cumsum(n))[edges[j : last + 1] - edges[j]]
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            total += weights.cost(x[:, a:b], gate[a:b], bit[a:b], owner[a:b])
+        s, inside = spell_parts(raw, begins[first[present]], sizes[first[present]], code, lambda s: _inside(s, tables))
+        outer, inside, bits = Outer(s), Runs(inside, s.first_bit), np.diff(s.first_bit)
+        # A word in a context costs the same looks into the tables wherever it stands: once a piece.
+        seen = []
+        for k, (context, hashes) in enumerate(contexts, INNER):
+            one, number = distinct(kind[here] << 32 | context[here])
+            pair, found = local[one], []
+            for a in range(0, pair.size, PART):
+                states = tables[k].take(outer.slots(pair[a : a + PART], hashes[context[here[one[a : a + PART]]]]))
+                level = (states & np.uint8(LEVELS - 1)).view(np.int8) - np.int8(LEVELS // 2)
+                if k == INNER:
+                    every = inside.of(pair[a : a + PART]).view(np.int8).reshape(-1, 4).copy()
+                    every[:, 2] = level
+                    every[:, 3] += (states // LEVELS).view(np.int8)
+                    level = every.view(np.int32).ravel()
+                found.append(level)
+            seen.append((Runs(np.concatenate(found), np.append(0, np.cumsum(bits[pair]))), number))
+        at_bit = np.append(0, np.cumsum(bits[local]))
+        weights = weights.with_room(int(np.diff(at_bit[edges[j : last + 1] - edges[j]]).max()))
+        for a, b in zip(edges[j:last], edges[j + 1 : last + 1], strict=True):
+            part = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)]
+            most, last_one = (runs.of(number[a - edges[j] : b - edges[j]]) for runs, number in (seen[1], seen[0]))
+            one, two, three, flags = np.ascontiguousarray(last_one.view(np.int8).reshape(-1, 4).T)
+            owner = text[order[part]]
+            total[owner] += weights.cost([one, two, three, most], flags & np.int8(GATES - 1), 1 - 2 * (flags // np.int8(GATES)), owner, at_bit[part - edges[j]] - at_bit[a - edges[j]])
         j = last
     return total, types, kind
 
 
+def _inside(s: Spelled, tables: np.ndarray) -> np.ndarray:
+    """Four bytes a bit: its level in each inner context, none, its gate by the last of them with the bit above."""
+    out = np.zeros((s.bit.size, 4), np.int8)
+    for k, slots in enumerate(inner_slots(s)):
+        states = tables[k].take(slots)
+        out[:, k] = (states & np.uint8(LEVELS - 1)).view(np.int8) - np.int8(LEVELS // 2)
+    out[:, 3] = states // LEVELS * np.uint8(4) + s.bit * np.uint8(GATES)
+    return out.view(np.int32).ravel()
+
+
+def _edges(starts: np.ndarray, block: np.ndarray, end: int) -> np.ndarray:
+    """Where to cut words into steps: at each new block, and within it before a text after STEP_WORDS words."""
+    fresh = np.append(True, block[1:] != block[:-1])
+    begin = np.maximum.accumulate(np.where(fresh, starts, 0))
+    step = (starts - begin) // STEP_WORDS
+    return np.append(starts[fresh | np.append(True, step[1:] != step[:-1])], end)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct lower-cased words of a batch with their hashes and counts; the empty word counts the ends."""
     for batch in batches:
         raw, off = utf8(batch["text"])
-        found = [(words, begins, sizes) for _, _, words, _, begins, sizes in doc_tokens(raw, off)]
+        found = [(words, begins, sizes) for _, _, words, _, begins, sizes in doc_tokens(raw, off, slice_bytes=CUT)]
         words, begins, sizes = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
-        types, first, counts = np.unique(words, return_index=True, return_counts=True)
+        first, kind = distinct(words)
+        types, counts = words[first], np.bincount(kind)
         size = sizes[first]
         at = np.zeros(size.size + 1, np.int64)
         np.cumsum(size, out=at[1:])
@@ -404,18 +528,28 @@ def _count_outer(code: Code) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         counts = np.zeros((TABLES - INNER, 2 << SLOT_BITS), np.int32)
         for batch in batches:
             raw, off = utf8(batch["text"])
-            for _, _, *found in doc_tokens(raw, off, slice_bytes=SLICE):
+            for _, _, *found in slices(raw, off, COUNTED):
                 words, at, begins, sizes = with_ends(*found)
-                types, first, kind = np.unique(words, return_index=True, return_inverse=True)
-                contexts = outer_contexts(raw, words, at, begins, sizes, kind, types)
-                for a in range(0, words.size, PIECE):
-                    here = slice(a, a + PIECE)
-                    present, local = (np.arange(types.size), kind) if words.size <= PIECE else np.unique(kind[here], return_inverse=True)
-                    s = spell(raw, begins[first[present]], sizes[first[present]], code, inner=False)
-                    bits, outer = outer_slots(s, local, tuple(c[here] for c in contexts))
-                    bit = s.bit[bits]
-                    for k, slots in enumerate(outer):
-                        np.add.at(counts[k], slots * 2 + bit, np.int32(1))
+                first, kind = distinct(words)
+                types = words[first]
+                contexts = outer_contexts(raw, at, begins, sizes, kind, types)
+                for a in range(0, words.size, COUNTED_PIECE):
+                    here = slice(a, a + COUNTED_PIECE)
+                    present = np.arange(types.size) if words.size <= COUNTED_PIECE else np.flatnonzero(np.bincount(kind[here], minlength=types.size))
+                    s, _ = spell_parts(raw, begins[first[present]], sizes[first[present]], code)
+                    outer, bits = Outer(s), Runs(s.bit.view(np.uint8), s.first_bit)
+                    for k, (context, hashes) in enumerate(contexts):
+                        # Equal words in equal contexts are counted at once.
+                        pairs = np.sort(kind[here] << 32 | context[here])
+                        fresh = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+                        times, pairs = np.diff(np.append(fresh, pairs.size)).astype(np.int32), pairs[fresh]
+                        local = np.searchsorted(present, pairs >> 32)
+                        for b in range(0, pairs.size, PART):
+                            some = local[b : b + PART]
+                            cell = outer.slots(some, hashes[pairs[b : b + PART] & 0xFFFFFFFF])
+                            cell += cell
+                            cell += bits.of(some)
+                            np.add.at(counts[k], cell, np.repeat(times[b : b + PART], outer.bits[some]))
         for k in range(TABLES - INNER):
             yield from _cells(INNER + k, counts[k])
 
@@ -459,6 +593,11 @@ def _code(follows: DataFrame) -> Code:
     return Code.of(after_one, pairs, after_two)
 
 
+def _fewer(df: DataFrame) -> DataFrame:
+    """The same rows in a quarter of the partitions, if two a core are left: each one's tables are sent but once."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions() // 4))
+
+
 def learn(train: DataFrame) -> tuple[Model, DataFrame]:
     """(model, training counts (key, n) by word hash) of texts (text)."""
     train = train.select("text")
@@ -468,7 +607,7 @@ def learn(train: DataFrame) -> tuple[Model, DataFrame]:
     code = _code(settle(vocabulary.mapInArrow(_count_symbols, "pair bigint, symbol bigint, n bigint").groupBy("pair", "symbol").agg(F.sum("n").alias("n"))))
     least = LOOKED_UP * tokens
     cells = "table int, slab int, cells binary"
-    counted = vocabulary.mapInArrow(_count_inner(code), cells).unionByName(train.mapInArrow(_count_outer(code), cells))
+    counted = _fewer(vocabulary).mapInArrow(_count_inner(code), cells).unionByName(_fewer(train).mapInArrow(_count_outer(code), cells))
     slabs = settle(counted.groupBy("table", "slab").applyInArrow(_states, "table int, slab int, states binary"))
     tables = np.full((TABLES, 1 << SLOT_BITS), EMPTY, np.uint8)
     unpack = zstandard.ZstdDecompressor()
@@ -486,7 +625,7 @@ def _scored(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch["text"])
-            for a, b, *found in doc_tokens(raw, off, slice_bytes=SLICE):
+            for a, b, *found in slices(raw, off, SLICE):
                 words, at, *places = with_ends(*found)
                 cost, types, kind = text_costs(raw, words, at, *places, model.code, model.tables)
                 spot = np.minimum(np.searchsorted(model.words, types), max(model.words.size - 1, 0))

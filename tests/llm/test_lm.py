@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -159,3 +160,49 @@ def test_no_training_rows_and_clashing_columns(spark):
     docs = spark.createDataFrame([(d, "a b", "x", 1, 2, 3) for d in held], "doc_id long, text string, key string, n int, rare int, row_id int")
     got = L.lm_scores(docs).collect()
     assert len(got) == 3 and all(r.n_known == 0 and r.train_tokens == 0 and r.n_tokens == 3 and r.score < 0 for r in got)
+
+
+def test_equal_words_in_equal_contexts_are_looked_up_once():
+    """Ten times as many copies of a text cost as much each, and not one look more into the tables."""
+    class Looks(np.ndarray):
+        n = 0
+
+        def take(self, at, *rest, **named):
+            Looks.n += at.size
+            return self.view(np.ndarray).take(at, *rest, **named)
+
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray):
+                Looks.n += at.size
+                return self.view(np.ndarray)[at]
+            return super().__getitem__(at)
+
+    code = L.Code.of(np.ones((257, 256), np.int64))
+    tables = np.random.default_rng(0).integers(0, 256, (L.TABLES, 1 << L.SLOT_BITS), dtype=np.uint8).view(Looks)
+    text, looks, costs = "red fox jumps over lazy dogs " * 30, [], []
+    for copies in (2, 20):
+        Looks.n = 0
+        raw, off = L.utf8(pa.array([text] * copies))
+        (_, _, *found), = L.slices(raw, off, L.SLICE) if hasattr(L, "slices") else L.doc_tokens(raw, off)
+        costs.append(L.text_costs(raw, *L.with_ends(*found), code, tables)[0])
+        looks.append(Looks.n)
+    assert looks[1] == looks[0] > 0
+    assert np.allclose(costs[0][0], np.concatenate(costs), rtol=1e-6)
+
+
+def test_steps_and_slices_change_nothing(monkeypatch):
+    r = random.Random(3)
+    words = ["aa", "bbb", "cccc", "dd", "Éa", "x" * 40]
+    texts = [" ".join(r.choices(words, k=n)) for n in (700, 20, 3, 0, 90, 1)]
+    code = L.Code.of(np.ones((257, 256), np.int64))
+    tables = np.random.default_rng(0).integers(0, 256, (L.TABLES, 1 << L.SLOT_BITS), dtype=np.uint8)
+    raw, off = L.utf8(pa.array(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    seen = []
+    for size in (1 << 20, 100):
+        if size == 100:
+            for name in ("SLICE", "PIECE", "COUNTED", "COUNTED_PIECE", "CUT", "STEP_WORDS", "PART"):
+                monkeypatch.setattr(L, name, size // 3)
+        cost = np.concatenate([L.text_costs(raw, *L.with_ends(*found), code, tables)[0] for _, _, *found in L.slices(raw, off, L.SLICE)])
+        seen.append((cost, [r.to_pydict() for r in L._count_outer(code)(iter([batch]))]))
+    assert np.allclose(seen[0][0], seen[1][0], rtol=1e-6) and seen[0][1] == seen[1][1]
