@@ -316,8 +316,8 @@ class Weights:
         of = np.tile(np.array(START, np.float32)[:, None, None], (1, rows, GATES))
         return cls(of, np.full((rows, GATES), CURVE), np.empty((TABLES + 3, 0), np.float32), np.empty(0, np.int64))
 
-    def cost(self, levels: list[np.ndarray], gate: np.ndarray, sign: np.ndarray, text: np.ndarray, first: np.ndarray, last: bool = False) -> np.ndarray:
-        """Bits that each text costs in one block; then the weights move, but for a ``last`` block.  levels: of each bit by context (small whole
+    def cost(self, levels: list[np.ndarray], gate: np.ndarray, sign: np.ndarray, text: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Bits that each text costs in one block; then the weights move.  levels: of each bit by context (small whole
         numbers, log odds in steps); sign: of what the bit costs; text: distinct, with the first bit of each."""
         row = self.rows[: gate.size]
         row[:] = gate
@@ -341,12 +341,9 @@ class Weights:
         wrong = np.exp(np.clip(odds, -20, 20, out=odds), out=odds)
         either = np.add(wrong, 1, out=part)
         wrong /= either
-        if not last:
-            np.multiply(square, wrong, out=bend)
-            bend /= either
+        np.multiply(square, wrong, out=bend)
+        bend /= either
         cost = np.add.reduceat(np.log(either, out=either), first, dtype=np.float64) / np.log(2)
-        if last:
-            return cost
         wrong *= sign
         # Bits side by side are summed in different lanes: none waits for the sum before it.
         for lane in range(1, LANES):
@@ -435,8 +432,8 @@ def text_costs(raw: np.ndarray, words: np.ndarray, at: np.ndarray, begins: np.nd
         weights = weights.with_room(int(np.diff(at_bit[edges[j : last + 1] - edges[j]]).max()))
         for a, b in zip(edges[j:last], edges[j + 1 : last + 1], strict=True):
             part = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)]
-            most, last_one = (runs.of(number[a - edges[j] : b - edges[j]]) for runs, number in (seen[1], seen[0]))
-            one, two, three, flags = np.ascontiguousarray(last_one.view(np.int8).reshape(-1, 4).T)
+            record, most = (runs.of(number[a - edges[j] : b - edges[j]]) for runs, number in seen)
+            one, two, three, flags = np.ascontiguousarray(record.view(np.int8).reshape(-1, 4).T)
             owner = text[order[part]]
             total[owner] += weights.cost([one, two, three, most], flags & np.int8(GATES - 1), 1 - 2 * (flags // np.int8(GATES)), owner, at_bit[part - edges[j]] - at_bit[a - edges[j]])
         j = last
